@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter, warc_audit
+from . import decontaminate, exact_dedup, packing, token_counts, url_filter, warc_audit
 
 _MODULES = {
     "op1_merkle_audit": warc_audit,
     "op6_url_trie": url_filter,
+    "op7_best_fit_packing": packing,
+    "op8_token_counts": token_counts,
+    "op9_decontaminate": decontaminate,
     "op10_exact_dedup": exact_dedup,
 }
 
