@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, token_counts, url_filter, warc_audit
+from . import decontaminate, exact_dedup, language_id, packing, quality, token_counts, url_filter, warc_audit
 
 _MODULES = {
     "op1_merkle_audit": warc_audit,
+    "op4_quality_gam": quality,
+    "op5_language_id": language_id,
     "op6_url_trie": url_filter,
     "op7_best_fit_packing": packing,
     "op8_token_counts": token_counts,
