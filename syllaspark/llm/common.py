@@ -95,6 +95,12 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(df: DataFrame, part_bytes: int) -> int:
+    """Parts for a shuffle that grows with df: one for each part_bytes of its input where Spark knows its size, the session's number at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(n_partitions(df.sparkSession), size // part_bytes if size < 1 << 52 else 0)
+
+
 def fold_of(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3; 1 is the held-out fold. A null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3
