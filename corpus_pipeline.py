@@ -1,12 +1,56 @@
-"""The corpus pipeline: STAGES turn `documents` into packed sequences."""
+"""The corpus pipeline: STAGES turn `documents` into packed sequences. Each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from syllaspark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing
+from syllaspark.llm.common import stored, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the language models, learnt from docs' own labelled rows, reject."""
+    return language_id.keep_known(docs, language_id.train(docs))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of equal texts."""
+    return exact_dedup.dedup_filter(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return jaccard_join.keep_one(docs, n=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a passage of a benchmark item."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_items > 0").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_bad"]), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: Language models, tries and packing have no SQL form; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs)
+    return docs

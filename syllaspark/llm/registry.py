@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, packing, quality, substring_dedup, token_counts, url_filter, warc_audit
+from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, substring_dedup, token_counts, url_filter, warc_audit
 
 _MODULES = {
     "op1_merkle_audit": warc_audit,
+    "op2_jaccard_join": jaccard_join,
     "op3_substring_dedup": substring_dedup,
     "op4_quality_gam": quality,
     "op5_language_id": language_id,
