@@ -25,7 +25,7 @@ from .common import SPACE, cut, mix, parts_for, ragged, ship, shingles, sliding_
 
 WINDOW, SEED = 20, 6
 #: Bytes of text in a block, about, and of the input for which one part of the index is made.
-BLOCK_BYTES, PART_BYTES = 16_000_000, 12_000_000
+BLOCK_BYTES, PART_BYTES = 4_000_000, 12_000_000
 _NO_ID = -(1 << 63)
 _U16, _U32, _I32, _I64, _U64 = np.uint16, np.uint32, np.int32, np.int64, np.uint64
 
