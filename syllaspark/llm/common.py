@@ -121,7 +121,7 @@ def byte_offsets(col: pa.StringArray) -> np.ndarray:
     return np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
 
 
-def cut(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def cut(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches' rows in slices of about `most` bytes of text; a longer text is a slice of its own."""
     for batch in batches:
         n = batch.num_rows

@@ -16,7 +16,7 @@ from .common import cut, ship, stored, table, texts_of, words_of
 
 WINDOW, MIN_ITEMS = 8, 2
 #: Bytes of text in a segment of the index, about; bytes of benchmark text that are broadcast at once.
-SEGMENT_BYTES, BLOCK_BYTES = 16_000_000, 32_000_000
+SEGMENT_BYTES, BLOCK_BYTES = 6_000_000, 32_000_000
 #: ASCII characters that are no letters or digits, once A-Z are lower-cased.
 SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _INDEX = "doc_id array<{id}>, first binary, terms binary, counts binary, positions binary"
