@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, the separators of `[^\x20\x09-\x0D]+`.
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 U64 = np.uint64
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = "8m"
 
 # ---------------------------------------------------------------- stored tables
 
@@ -74,8 +76,9 @@ def _at_exit(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable for the executors' Python workers, once a context."""
+    """Makes this package importable for the executors' Python workers, once a context; and bounds the Arrow batches that they get by bytes, as texts may be long."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_syllaspark_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -156,13 +159,21 @@ class _Powers:
     n = 0
     up = down = np.zeros(0, U64)
 
+    @staticmethod
+    def _made(base: int, n: int) -> np.ndarray:
+        out = np.ones(n + 1, U64)
+        have = 1
+        while have <= n:  # in place, as long texts need long tables
+            more = min(have, n + 1 - have)
+            np.multiply(out[:more], U64(pow(base, have, 1 << 64)), out=out[have : have + more])
+            have += more
+        return out
+
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > cls.n:
             cls.n = max(n, 1 << 20)
-            one = np.ones(1, U64)
-            cls.up = np.cumprod(np.concatenate([one, np.full(cls.n, _BASE, U64)]))
-            cls.down = np.cumprod(np.concatenate([one, np.full(cls.n, pow(_BASE, -1, 1 << 64), U64)]))
+            cls.up, cls.down = (cls._made(x, cls.n) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
         return cls.up, cls.down
 
 
@@ -218,7 +229,9 @@ def words_of(texts: pa.StringArray, separators: bytes = SPACE, lower: bool = Fal
     up, _ = _Powers.of(len(buf))
     sums = np.empty(len(buf) + 1, U64)
     sums[0] = 0
-    np.cumsum(_VALUES[buf] * up[: len(buf)], out=sums[1:])
+    np.take(_VALUES, buf, out=sums[1:])
+    np.multiply(sums[1:], up[: len(buf)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return Words(buf, start, end, np.searchsorted(start, at), at, sums)
 
 

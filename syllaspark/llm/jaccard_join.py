@@ -27,7 +27,7 @@ from .components import components
 
 #: Shingles that more sets have than this are ordered last, at most HOT_MOST of them, the most frequent; it is a matter of speed only.
 HOT, HOT_MOST = 16, 400_000
-BLOCK_BYTES, PART_BYTES = 4_000_000, 12_000_000
+BLOCK_BYTES, PART_BYTES = 2_000_000, 12_000_000
 #: Sets in one trie at most.
 TRIE_SETS = 512
 _I64, _U64, _I32 = np.int64, np.uint64, np.int32
@@ -237,7 +237,7 @@ def _verified(pairs: DataFrame, content: DataFrame, n: int, percent: int, order:
                 found.extend((now[0], b) for b in trie.linked(hub, percent))
 
         for batch in batches:
-            for piece in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
+            for piece in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
                 a, chunk, b = (piece.column(c).to_pylist() for c in range(3))
                 sets = sets_of(pa.array([zlib.decompress(x).decode() for x in piece.column(3).to_pylist()], pa.string()), n)
                 for key, member, s in zip(zip(a, chunk, strict=True), b, sets, strict=True):
