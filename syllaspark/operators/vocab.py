@@ -58,7 +58,10 @@ def vocabulary(model: str, roles: DataFrame) -> DataFrame:
     listed = spark.createDataFrame([(script.decompose_py(x), role) for role, xs in own for x in xs], "token string, role string")
     rank = F.expr("CASE role WHEN 'suffix' THEN 0 WHEN 'prefix' THEN 1 WHEN 'stem' THEN 2 ELSE 3 END")
     every = roles.unionByName(listed).unionByName(fixed.withColumn("role", F.lit("other")))
-    return with_ids(every.groupBy("token").agg(F.min(rank).alias("rk")), "rk")
+    # A token that is shown like a listed affix (a bare consonant, say) is ranked like one.
+    shown = script.recompose(F.col("token"))
+    as_listed = F.when(shown.isin(script.MORPH_SUFFIXES), 0).when(shown.isin(script.MORPH_PREFIXES), 1).otherwise(3)
+    return with_ids(every.groupBy("token").agg(F.min(rank).alias("rk")).withColumn("rk", F.least("rk", as_listed)), "rk")
 
 
 def train(model: str, text: DataFrame) -> DataFrame:

@@ -1 +1,144 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL for the queries of queries.py that SQL can express in good time over whole tables."""
+
+from __future__ import annotations
+
+from ..functions import script as S
+
+_KEPT, _WS = S.KEPT, S.WS
+_FOREIGN = f"[^{_KEPT}]"
+
+
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _normal(t: str) -> str:
+    a = f"regexp_replace({t}, {_lit(f'{_FOREIGN}*[A-Za-z\\x{{4E00}}-\\x{{9FFF}}]{_FOREIGN}*')}, ' ', 'g')"
+    b = f"regexp_replace({a}, {_lit(r'([^\P{Nd}0-9])')}, ' \\1 ', 'g')"
+    return f"regexp_replace({b}, {_lit(f'[^{_KEPT}\\p{{Nd}}]+')}, ' ', 'g')"
+
+
+def _one_space(t: str) -> str:
+    return f"regexp_replace({t}, {_lit(f'[{_WS}]+')}, ' ', 'g')"
+
+
+def _mapping(pairs: list[tuple[str, str]]) -> str:
+    return f"MAP {{{', '.join(f'{_lit(a)}: {_lit(b)}' for a, b in pairs)}}}"
+
+
+def _docs(table: str, key: str, name: str) -> str:
+    return f"{name} AS (SELECT {key} AS doc_id, translate(lower(text), '{S.LATIN}', '{S.GLYPHS}') AS text FROM {table})"
+
+
+_PAIRS = S.fidel_pairs()
+_DECOMPOSE, _RECOMPOSE = _mapping(_PAIRS), _mapping([(b, a) for a, b in _PAIRS])
+
+
+def _cv(t: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({t}, '(?s).'), lambda c: coalesce(map_extract_value({_DECOMPOSE}, c), c)), '')"
+
+
+def _back(t: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({t}, {_lit(S.CV_UNIT)}), lambda c: coalesce(map_extract_value({_RECOMPOSE}, c), c)), '')"
+
+
+_DOCS = _docs("documents", "doc_id", "docs")
+
+
+def _words(docs: str, name: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all({_normal('text')}, {_lit(S.WORD)}, 1)) AS word FROM {docs})"
+
+
+def _segments(words: str, tokens: str, first_run: bool, name: str, most: str = "1000") -> str:
+    """name(word, k, piece): the walk over each word."""
+    lengths = (
+        f"SELECT word, i, max(l) AS l FROM (SELECT *, l - row_number() OVER (PARTITION BY word, i ORDER BY l) AS g, min(l) OVER (PARTITION BY word, i) AS m FROM {name}_hit) WHERE g = m - 1 GROUP BY word, i"
+        if first_run
+        else f"SELECT word, i, max(l) AS l FROM {name}_hit GROUP BY word, i"
+    )
+    return f"""{name}_hit AS MATERIALIZED (
+  SELECT s.word, s.i, s.l FROM (SELECT word, i, unnest(range(1, least(length(word) - i + 1, {most}) + 1)) AS l FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM {words})) s
+  WHERE substr(s.word, s.i, s.l) IN (SELECT token FROM {tokens})
+), {name}_nx AS MATERIALIZED ({lengths}), {name}_walk AS (
+  SELECT word, CAST(1 AS BIGINT) AS at_, CAST(0 AS BIGINT) AS k FROM {words} WHERE length(word) > 0
+  UNION ALL
+  SELECT w.word, w.at_ + coalesce(n.l, 1), w.k + 1 FROM {name}_walk w LEFT JOIN {name}_nx n ON n.word = w.word AND n.i = w.at_ WHERE w.at_ + coalesce(n.l, 1) <= length(w.word)
+), {name} AS MATERIALIZED (
+  SELECT w.word, w.k, w.at_, substr(w.word, w.at_, coalesce(n.l, 1)) AS piece FROM {name}_walk w LEFT JOIN {name}_nx n ON n.word = w.word AND n.i = w.at_
+)"""
+
+
+def _affixes(words: str, name: str) -> str:
+    return f"""{name}_long AS (SELECT word FROM {words} WHERE length(word) > 1), {name}_tok AS (SELECT word AS token FROM {words}),
+{_segments(f"{name}_long", f"{name}_tok", True, f"{name}_p")}, {name} AS MATERIALIZED (
+  SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS token, 'prefix' AS role FROM {words}
+  UNION
+  SELECT piece, CASE WHEN n = 1 THEN 'stem' WHEN n = 2 AND l0 >= l1 THEN CASE k WHEN 0 THEN 'stem' ELSE 'suffix' END WHEN n = 2 THEN CASE k WHEN 0 THEN 'prefix' ELSE 'stem' END
+    ELSE CASE k WHEN 0 THEN 'prefix' WHEN 1 THEN 'stem' ELSE 'suffix' END END
+  FROM (SELECT *, count(*) OVER (PARTITION BY word) AS n, max(length(piece)) FILTER (k = 0) OVER (PARTITION BY word) AS l0, max(length(piece)) FILTER (k = 1) OVER (PARTITION BY word) AS l1 FROM {name}_p)
+)"""
+
+
+def _values(tokens: list[str]) -> str:
+    return ", ".join(f"({_lit(t)})" for t in sorted(set(tokens)))
+
+
+def _ids(tokens: str, rank: str = "0") -> str:
+    return f"SELECT token, CAST(row_number() OVER (ORDER BY {rank}, -length(token), token) + 1 AS BIGINT) AS base_id FROM ({tokens})"
+
+
+_BASE = f"WITH RECURSIVE {_DOCS}, {_words('docs', 'words')}"
+_CVW = f"{_BASE}, cvw AS MATERIALIZED (SELECT DISTINCT {_cv('word')} AS word FROM words)"
+_GMS_FIXED = _values([*S.custom_tokens(), " "])
+_CV_FIXED = [*(b for _, b in _PAIRS), " "]
+_CONV = _docs("conversations", "conv_id", "conv")
+_GMS = f"{_BASE}, {_affixes('words', 'roles')}, vocab AS MATERIALIZED ({_ids(f'SELECT token FROM roles UNION SELECT * FROM (VALUES {_GMS_FIXED}) t(token)')})"
+_BOTH = f"{_BASE}, {_affixes('words', 'roles')}, {_CONV}, {_words('conv', 'words2')}, {_affixes('words2', 'roles2')}, vocab AS ({_ids(f'SELECT token FROM roles UNION SELECT token FROM roles2 UNION SELECT * FROM (VALUES {_GMS_FIXED}) t(token)')})"
+_ENCODED = f"""{_GMS}, every AS MATERIALIZED (SELECT * FROM vocab UNION ALL VALUES ('<unk>', 0), ('<pad>', 1)), u AS MATERIALIZED (
+  SELECT doc_id, upos, raw, regexp_replace(raw, {_lit(f'^[{_WS}]+')}, '') AS unit FROM (SELECT doc_id, unnest(r) AS raw, unnest(range(1, len(r) + 1)) AS upos FROM (SELECT doc_id, regexp_extract_all(text, {_lit(f'([{_WS}]*(?:, |,|[^{_WS},]+))')}, 1) AS r FROM docs))
+), uw AS MATERIALIZED (SELECT DISTINCT unit AS word FROM u), {_segments('uw', 'every', False, 'seg', '(SELECT max(length(token)) FROM every)')}, t AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY upos, k) - 1 AS pos, piece, coalesce(base_id, 0) AS base_id, CASE WHEN base_id > 0 THEN piece ELSE '<unk>' END AS token, k = 0 AND length(raw) > length(unit) AS spaced,
+    CASE WHEN k = 0 THEN raw_start ELSE raw_start + length(raw) - length(unit) + at_ - 1 END AS start_, raw_start + length(raw) - length(unit) + at_ - 1 + length(piece) AS end_
+  FROM (SELECT *, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY upos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS raw_start FROM u) x JOIN seg ON seg.word = x.unit LEFT JOIN every ON every.token = piece
+)"""
+_NW = f"len(list_filter(string_split_regex(text, {_lit(f'[{_WS}]+')}), lambda x: x <> ''))"
+
+SQL: dict[str, str] = {
+    "fidel_decompose": f"{_BASE} SELECT word, {_cv('word')} AS cv FROM words",
+    "normalize_text": f"WITH {_DOCS} SELECT doc_id, {_one_space(_normal('text'))} AS text FROM docs",
+    "normalize_raw": f"SELECT doc_id, {_one_space(_normal('text'))} AS text FROM documents",
+    "word_split": f"WITH {_DOCS}, w AS (SELECT doc_id, regexp_extract_all({_normal('text')}, {_lit(S.WORD)}, 1) AS w FROM docs) SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, md5(array_to_string(w, ' ')) AS words_md5 FROM w",
+    "word_freq": f"WITH {_DOCS} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_normal('text')}, {_lit(S.WORD)}, 1)) AS word FROM docs) GROUP BY word",
+    "corpus_vocab": f"{_BASE} SELECT word FROM words",
+    "char_inventory": f"{_BASE} SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(word, '(?s).')) AS ch FROM words) GROUP BY ch",
+    "fidel_map": f"SELECT * FROM (VALUES {', '.join(f'({_lit(a)}, {_lit(b)})' for a, b in _PAIRS)}) t(glyph, cv)",
+    "fidel_recompose": f"{_BASE} SELECT word, {_back(_cv('word'))} AS back FROM words",
+    "fidel_roundtrip_loss": f"{_BASE} SELECT * FROM (SELECT word, {_back(_cv('word'))} AS back FROM words) WHERE word <> back",
+    "custom_tokens": f"SELECT * FROM (VALUES {_values(S.custom_tokens())}) t(token)",
+    "affix_sets_fidel": f"{_BASE}, {_affixes('words', 'roles')} SELECT token, role FROM roles",
+    "affix_sets_cv": f"{_CVW}, {_affixes('cvw', 'roles')} SELECT token, role FROM roles",
+    "greedy_segments_fidel": f"{_BASE}, {_affixes('words', 'roles')} SELECT word, string_agg(piece, '|' ORDER BY k) AS pieces FROM roles_p GROUP BY word",
+    "greedy_segments_cv": f"{_CVW}, {_affixes('cvw', 'roles')} SELECT word, string_agg(piece, '|' ORDER BY k) AS pieces FROM roles_p GROUP BY word",
+    "legacy_stems": f"""{_BASE}, lw AS (SELECT word FROM words WHERE length(word) > 1), sub AS (
+      SELECT word, substr(word, i, l) AS s FROM (SELECT word, i, unnest(range(2, length(word) - i + 2)) AS l FROM (SELECT word, unnest(range(1, length(word))) AS i FROM lw)) WHERE l < length(word))
+      SELECT word FROM lw WHERE word NOT IN (SELECT word FROM sub WHERE s IN (SELECT word FROM lw))""",
+    "vocab_gms": f"{_GMS} SELECT token, base_id FROM vocab",
+    "vocab_cv": f"{_CVW}, {_affixes('cvw', 'roles')} {_ids(f'SELECT token FROM roles UNION SELECT * FROM (VALUES {_values(_CV_FIXED)}) t(token)')}",
+    "vocab_hybrid": f"{_CVW}, {_affixes('cvw', 'roles')} {_ids(f'SELECT token FROM roles UNION SELECT word FROM cvw UNION SELECT * FROM (VALUES {_values(_CV_FIXED + [S.decompose_py(x) for x in S.HYBRID_SUFFIXES + S.HYBRID_PREFIXES])}) t(token)')}",
+    "vocab_merge": f"{_BOTH} SELECT token, base_id FROM vocab",
+    "vocab_multi": f"{_BOTH} SELECT token, base_id FROM vocab",
+    "composite_ids": f"{_GMS} SELECT token, base_id, spaced, (n + 2) * 2 + 1 + base_id * 2 + CAST(spaced AS BIGINT) AS id, base_id AS base_back, CAST(spaced AS BIGINT) AS flag_back FROM vocab, (SELECT count(*) AS n FROM vocab), (VALUES (false), (true)) s(spaced)",
+    "encode_gms": f"""{_ENCODED} SELECT doc_id, count(*) AS n_tokens, md5(string_agg(CAST((n + 2) * 2 + 1 + base_id * 2 + CAST(spaced AS BIGINT) AS VARCHAR), ',' ORDER BY pos)) AS ids_md5,
+      md5(string_agg(token, ',' ORDER BY pos)) AS tokens_md5, md5(string_agg(CAST(CAST(start_ AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(end_ AS BIGINT) AS VARCHAR), ',' ORDER BY pos)) AS places_md5 FROM t, (SELECT count(*) AS n FROM vocab) GROUP BY doc_id""",
+    "decode_gms": f"{_ENCODED} SELECT doc_id, md5(x) AS text_md5, length(x) AS n_chars FROM (SELECT doc_id, string_agg(CASE WHEN spaced THEN ' ' ELSE '' END || token, '' ORDER BY pos) AS x FROM t GROUP BY doc_id)",
+    "decode_spans": f"{_ENCODED} SELECT doc_id, md5(string_agg(CASE WHEN spaced THEN ' ' ELSE '' END || piece, '' ORDER BY pos)) AS text_md5 FROM t GROUP BY doc_id",
+    "unigram_ppl": f"""{_ENCODED}, c AS (SELECT token, count(*) AS c FROM t WHERE doc_id % 20 >= 3 GROUP BY token), s AS (SELECT sum(c) AS total, count(*) AS kinds FROM c)
+      SELECT round(exp(-sum(n * ln((coalesce(c, 0) + 1e-10::DOUBLE) / (total + 1e-10::DOUBLE * kinds))) / sum(n)), 4) AS ppl FROM (SELECT token, count(*) AS n FROM t WHERE doc_id % 20 < 3 GROUP BY token) LEFT JOIN c USING (token), s""",
+    "tok_per_word": f"{_ENCODED} SELECT round((SELECT count(*) FROM t WHERE regexp_matches(token, {_lit(f'[^{_WS}]')})) / (SELECT sum({_NW}) FROM docs), 3) AS tok_per_word",
+    "unk_pct": f"{_ENCODED} SELECT round(avg(CASE WHEN base_id = 0 THEN 1.0::DOUBLE ELSE 0 END) * 100, 3) AS unk_pct FROM t",
+    "fidel_pct": f"{_ENCODED} SELECT round(avg(CASE WHEN regexp_matches(token, '^[\\x{{1200}}-\\x{{137F}}]+$') THEN 1.0::DOUBLE ELSE 0 END) * 100, 2) AS fidel_pct FROM t WHERE regexp_matches(token, {_lit(f'[^{_WS}]')})",
+    "train_test_split": "SELECT doc_id, CASE WHEN doc_id % 20 < 3 THEN 'test' ELSE 'train' END AS part FROM documents",
+    "word_budget": f"""WITH {_DOCS}, w AS (SELECT doc_id, {_NW} AS w FROM docs), c AS (SELECT w, sum(w) OVER (ORDER BY doc_id) AS c FROM w)
+      SELECT step, count(*) AS n_docs, CAST(sum(w) AS BIGINT) AS n_words FROM c, (SELECT unnest([1000, 5000, 10000, 25000, 50000, 75000, 100000, 125000, 150000, 175000, 200000, 225000, 250000])::BIGINT AS step) WHERE c <= step GROUP BY step""",
+    "text_stats": f"""{_ENCODED} SELECT d.doc_id, length(text) AS char_count, length({_cv('text')}) AS decomposed_chars, coalesce(n, 0) AS token_count FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id) USING (doc_id)""",
+}
