@@ -18,12 +18,14 @@ from .common import SPACE, Words, mix, ragged, words_of
 
 #: Distinct chunks a worker remembers; beyond it begins anew, so its memory is bounded.
 MEMO = 600_000
+#: Chunks tokenized in one call.
+JOINED = 1000
 
 
 class ChunkTable:
-    """For chunk hashes: offset and length in `values`. encode(chunk texts) -> list of arrays of values, each of at least 0 items."""
+    """For chunk hashes: offset and length in `values`. encode(chunk texts) -> all chunks' values in a row, and how many each has."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], dtype: type) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: type) -> None:
         self.encode, self.dtype = encode, dtype
         self.clear()
 
@@ -39,12 +41,11 @@ class ChunkTable:
         get = self.row.get
         found = np.fromiter((get(k, -1) for k in unique.tolist()), np.int64, len(unique))
         if len(new := np.flatnonzero(found < 0)):
-            got = self.encode([text(i) for i in first[new].tolist()])
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            got, lengths = self.encode([text(i) for i in first[new].tolist()])
             n = len(self.at)
             self.at = np.concatenate([self.at, len(self.values) + np.cumsum(lengths) - lengths])
             self.length = np.concatenate([self.length, lengths])
-            self.values = np.concatenate([self.values, *got]).astype(self.dtype, copy=False)
+            self.values = np.concatenate([self.values, got]).astype(self.dtype, copy=False)
             found[new] = np.arange(n, n + len(new))
             self.row.update(zip(unique[new].tolist(), range(n, n + len(new)), strict=True))
         return found[inverse], self.at, self.length, self.values
@@ -55,7 +56,26 @@ def _bpe(path: str) -> ChunkTable:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    return ChunkTable(lambda chunks: [np.array(e.ids, np.uint32) for e in t.encode_batch(chunks, add_special_tokens=False)], np.uint32)
+    # An added token that isn't normalised parts a text before anything else happens: chunks on both sides are tokenized as if alone.
+    mark = next(((i, a.content) for i, a in t.get_added_tokens_decoder().items() if not (a.normalized or a.single_word or a.lstrip or a.rstrip)), None)
+
+    def alone(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [t.encode(c, add_special_tokens=False).ids for c in chunks]
+        return np.fromiter((i for ids in got for i in ids), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def joined(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks in one call, with the mark after each; those that hold the mark themselves call for single calls."""
+        ids = np.array(t.encode("".join(c + mark[1] for c in chunks), add_special_tokens=False).ids, np.uint32)
+        is_mark = ids == mark[0]
+        if is_mark.sum() != len(chunks):
+            return alone(chunks)
+        return ids[~is_mark], np.diff(np.flatnonzero(is_mark), prepend=-1) - 1
+
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [(joined if mark else alone)(chunks[k : k + JOINED]) for k in range(0, len(chunks), JOINED)]
+        return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+    return ChunkTable(encode, np.uint32)
 
 
 def bpe_ids(texts: pa.StringArray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +162,7 @@ def read_pieces(model_file: str) -> dict[str, float]:
 @functools.lru_cache(4)
 def _unigram(path: str) -> tuple[Unigram, ChunkTable]:
     u = Unigram(read_pieces(path))
-    return u, ChunkTable(lambda chunks: [np.array(u.count(c)) for c in chunks], np.float64)
+    return u, ChunkTable(lambda chunks: (np.array([u.count(c) for c in chunks], np.float64).ravel(), np.full(len(chunks), 2)), np.float64)
 
 
 def unigram_counts(texts: pa.StringArray, path: str) -> tuple[np.ndarray, np.ndarray]:
