@@ -17,7 +17,7 @@ import pyarrow as pa
 from .common import SPACE, Words, mix, ragged, words_of
 
 #: Distinct chunks a worker remembers; beyond it begins anew, so its memory is bounded.
-MEMO = 600_000
+MEMO = 2_000_000
 #: Chunks tokenized in one call.
 JOINED = 1000
 
@@ -30,24 +30,26 @@ class ChunkTable:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # ascending; the other arrays are in this order
         self.at, self.length, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     def rows(self, keys: np.ndarray, text: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row of each key, and the table's arrays. text(i): the chunk of keys[i]."""
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.row) + len(unique) > MEMO:
+        if len(self.keys) + len(unique) > MEMO:
             self.clear()
-        get = self.row.get
-        found = np.fromiter((get(k, -1) for k in unique.tolist()), np.int64, len(unique))
-        if len(new := np.flatnonzero(found < 0)):
+        found = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), bool)
+        inside = found < len(self.keys)
+        known[inside] = self.keys[found[inside]] == unique[inside]
+        if len(new := np.flatnonzero(~known)):
             got, lengths = self.encode([text(i) for i in first[new].tolist()])
-            n = len(self.at)
-            self.at = np.concatenate([self.at, len(self.values) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
+            place = found[new]
+            self.keys = np.insert(self.keys, place, unique[new])
+            self.at = np.insert(self.at, place, len(self.values) + np.cumsum(lengths) - lengths)
+            self.length = np.insert(self.length, place, lengths)
             self.values = np.concatenate([self.values, got]).astype(self.dtype, copy=False)
-            found[new] = np.arange(n, n + len(new))
-            self.row.update(zip(unique[new].tolist(), range(n, n + len(new)), strict=True))
+            found = np.searchsorted(self.keys, unique)
         return found[inverse], self.at, self.length, self.values
 
 
