@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models
 
-from syllaspark.llm import packing, token_counts
+from syllaspark.llm import packing, token_counts, tokens
 from syllaspark.llm.tokens import Unigram, bpe_ids, read_pieces, unigram_counts
 
 TEXTS = ["Hello  world's café\n\nÀ é́ x", "", "   ", "a", "12345 ١٢ don't!!! <|endoftext|>x <|startoftext|>", "日本語 テスト z q ́a", "ΣΑΣ ß İ", "word " * 3000, "x" * 9000, "ab\x1c cd\x85ef"]
@@ -89,3 +89,16 @@ def test_lower_bound_is_a_bound():
 @pytest.mark.parametrize("op", [packing.pack_documents, token_counts.token_counts])
 def test_empty(spark, op):
     assert op(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chunks_are_found_again_after_the_memo_begins_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 40)
+    monkeypatch.setattr(tokens, "JOINED", 7)
+    tokens._bpe.cache_clear()
+    t = Tokenizer.from_file(P.path(packing.VOCABULARY))
+    for k in range(6):
+        texts = [" ".join(f"w{(k * 13 + j * j) % 50}<|endo" for j in range(30)), *TEXTS[k:]]
+        ids, first = bpe_ids(pa.array(texts), P.path(packing.VOCABULARY))
+        for i, x in enumerate(texts):
+            assert ids[first[i] : first[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
+    tokens._bpe.cache_clear()
