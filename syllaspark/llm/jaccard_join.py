@@ -26,7 +26,8 @@ from .common import SPACE, cut, forget, mix, parts_for, ragged, ship, shingles,
 from .components import components
 
 #: Shingles that more sets have than this are ordered last, at most HOT_MOST of them, the most frequent; it is a matter of speed only.
-HOT, HOT_MOST = 16, 400_000
+#: Repeats are counted within stretches of COUNT_ITEMS shingles: a shingle of f sets in b stretches shows about f * f / b of them.
+HOT, HOT_MOST, COUNT_ITEMS = 3, 400_000, 6_000_000
 BLOCK_BYTES, PART_BYTES = 2_000_000, 12_000_000
 #: Sets in one trie at most.
 TRIE_SETS = 512
@@ -126,32 +127,49 @@ class Trie:
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of two kinds: doc_id, n_shingles, sig of each document; and gram, n of shingles that several sets of a block have."""
+    """Rows of two kinds: doc_id, n_shingles, sig of each document; and gram, n of shingles that several sets of a stretch of COUNT_ITEMS shingles have."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def rows(ids: pa.Array, sizes: list, sigs: list, gram: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        x, g = len(ids), len(gram)
+        columns = [
+            pa.concat_arrays([ids, pa.nulls(g, ids.type)]),
+            pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(g, pa.int64())]),
+            pa.concat_arrays([pa.array(sigs, pa.int64()), pa.nulls(g, pa.int64())]),
+            pa.concat_arrays([pa.nulls(x, pa.int64()), pa.array(gram.astype(_I64))]),
+            pa.concat_arrays([pa.nulls(x, pa.int64()), pa.array(many.astype(_I64))]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "sig", "gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in cut(batches, "_text", BLOCK_BYTES):
-            sets = sets_of(texts_of(b, "_text"), n)
-            sigs = [signature(s) if len(s) else None for s in sets]
-            every = np.sort(np.concatenate([*{g: s for g, s in zip(sigs, sets, strict=True) if g is not None}.values(), np.zeros(0, _U64)]))
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+        none = np.zeros(0, _U64)
+
+        def repeated(ids: pa.Array) -> Iterator[pa.RecordBatch]:
+            every = np.concatenate([*held, none])
+            held.clear()
+            seen.clear()
+            every.sort()
             head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, _I64)
             many = np.diff(np.append(head, len(every)))
-            gram, many = every[head][many > 1].astype(_I64), many[many > 1]
-            for k in range(0, max(1, len(gram)), 1 << 16):
-                g, m = gram[k : k + (1 << 16)], many[k : k + (1 << 16)]
-                first = k == 0
-                ids = b.column(0) if first else b.column(0).slice(0, 0)
-                x = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([ids, pa.nulls(len(g), ids.type)]),
-                        pa.array([*([len(s) for s in sets] if first else []), *[None] * len(g)], pa.int64()),
-                        pa.array([*(sigs if first else []), *[None] * len(g)], pa.int64()),
-                        pa.concat_arrays([pa.nulls(x, pa.int64()), pa.array(g, pa.int64())]),
-                        pa.concat_arrays([pa.nulls(x, pa.int64()), pa.array(m, pa.int64())]),
-                    ],
-                    ["doc_id", "n_shingles", "sig", "gram", "n"],
-                )
+            gram, many = every[head[many > 1]], many[many > 1]
+            for k in range(0, len(gram), 1 << 16):
+                yield rows(ids.slice(0, 0), [], [], gram[k : k + (1 << 16)], many[k : k + (1 << 16)])
+
+        ids = None
+        for b in cut(batches, "_text", BLOCK_BYTES):
+            sets, ids = sets_of(texts_of(b, "_text"), n), b.column(0)
+            sigs = [signature(s) if len(s) else None for s in sets]
+            yield rows(ids, [len(s) for s in sets], sigs, none, none)
+            for g, s in zip(sigs, sets, strict=True):
+                if g is not None and g not in seen:
+                    seen.add(g)
+                    held.append(s)
+            if sum(map(len, held)) > COUNT_ITEMS:
+                yield from repeated(ids)
+        if held:
+            yield from repeated(ids)
 
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, sig long, gram long, n long")
 
