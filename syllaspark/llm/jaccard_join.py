@@ -31,6 +31,8 @@ HOT, HOT_MOST, COUNT_ITEMS = 3, 400_000, 6_000_000
 BLOCK_BYTES, PART_BYTES = 2_000_000, 12_000_000
 #: Sets in one trie at most.
 TRIE_SETS = 512
+#: Ids of texts to be read again that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _I64, _U64, _I32 = np.int64, np.uint64, np.int32
 
 
@@ -274,15 +276,21 @@ def _verified(pairs: DataFrame, content: DataFrame, n: int, percent: int, order:
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def _packed(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig, body (a packed text that has that set) of the wanted sets."""
-    one = described.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("_id"))
+def _packed(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """sig, body (a packed text that has that set) of the sets in pairs (a, b): a text is read again only if its set has a candidate.
+
+    The ids of those texts are broadcast up to BROADCAST_IDS of them; beyond that the texts are shuffled.
+    """
+    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    one = stored(members.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("_id")))
+    few = one.count() <= BROADCAST_IDS
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(x.encode(), 1) for x in b.column(1).to_pylist()], pa.binary())], ["sig", "body"])
 
-    return docs.join(one, docs["doc_id"] == one["_id"]).select("sig", F.coalesce("_text", F.lit("")).alias("_text")).mapInArrow(pack, "sig long, body binary")
+    found = docs.join(F.broadcast(one) if few else one, docs["doc_id"] == one["_id"])
+    return found.select("sig", F.coalesce("_text", F.lit("")).alias("_text")).mapInArrow(pack, "sig long, body binary")
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,14 +312,15 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     order = spark.sparkContext.broadcast(Order(top.column("gram").to_numpy().astype(_U64), top.column("n").to_numpy()))
     postings = stored(_postings(known, n, percent, order, parts_for(ids, PART_BYTES)))
     members = described.where(F.col("doc_id").isNotNull() & F.col("sig").isNotNull())
-    content = stored(_packed(known, members, postings.select("sig").distinct()))
 
     # First round: each set against its shingle's hub, the set in which the shingle comes first.
     hubs = postings.groupBy("gram").agg(F.min(F.struct("place", "size", "sig")).alias("h")).select("gram", "h.*")
     x, y = _as(hubs, "x", "sig", "size", "place"), _as(postings, "y", "sig", "size", "place")
     near = y.join(x, "gram").where((F.col("x_sig") != F.col("y_sig")) & _may_link(percent))
-    pairs = near.select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b")).distinct()
+    pairs = stored(near.select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b")).distinct())
+    content = stored(_packed(known, members, pairs))
     links = stored(_verified(pairs, content, n, percent, order))
+    forget(content)
     roots = stored(components(links))
 
     # Second round: sets that are in another component than their hub's, against all that are in others than theirs.
@@ -322,9 +331,11 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     minor = stored(minor)
     x, y = _as(minor, "x", "sig", "size", "place", "root", "hub_sig"), _as(named, "y", "sig", "size", "place", "root")
     near = y.join(x, "gram").where((F.col("x_root") != F.col("y_root")) & (F.col("y_sig") != F.col("x_hub_sig")) & _may_link(percent))
-    more = near.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct()
+    more = stored(near.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct())
+    forget(postings, named, minor)
+    content = stored(_packed(known, members, more))
     rest = stored(_verified(more, content, n, percent, order))
-    forget(postings, named, minor, content)
+    forget(content)
     again = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
 
     # Of equal sets, and then of linked ones, the smallest id.
