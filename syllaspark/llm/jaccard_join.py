@@ -27,7 +27,7 @@ from .components import components
 
 #: Shingles that more sets have than this are ordered last, at most HOT_MOST of them, the most frequent; it is a matter of speed only.
 #: Repeats are counted within stretches of COUNT_ITEMS shingles: a shingle of f sets in b stretches shows about f * f / b of them.
-HOT, HOT_MOST, COUNT_ITEMS = 3, 400_000, 6_000_000
+HOT, HOT_MOST, COUNT_ITEMS = 3, 400_000, 4_000_000
 BLOCK_BYTES, PART_BYTES = 2_000_000, 12_000_000
 #: Sets in one trie at most.
 TRIE_SETS = 512
