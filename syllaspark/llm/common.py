@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import functools
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -124,8 +126,28 @@ def byte_offsets(col: pa.StringArray) -> np.ndarray:
     return np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
 
 
-def cut(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches' rows in slices of about `most` bytes of text; a longer text is a slice of its own."""
+#: What empties the caches that a Python worker keeps from task to task.
+WORKER_CACHES: list[Callable[[], object]] = []
+
+
+def tidy(keep: bool = False) -> None:
+    """Gives memory that a task no longer uses back to the system, as workers outlive their tasks; keep: not the caches."""
+    for clear in [] if keep else WORKER_CACHES:
+        clear()
+    _Powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def cut(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = 4_000_000, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about `most` bytes of text; a longer text is a slice of its own. keep: the worker's caches stay."""
+    tidy(keep)
+    yield from _slices(batches, name, most)
+    tidy(keep)
+
+
+def _slices(batches: Iterable[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -159,6 +181,11 @@ class _Powers:
     n = 0
     up = down = np.zeros(0, U64)
 
+    @classmethod
+    def clear(cls) -> None:
+        cls.n = 0
+        cls.up = cls.down = np.zeros(0, U64)
+
     @staticmethod
     def _made(base: int, n: int) -> np.ndarray:
         out = np.ones(n + 1, U64)

@@ -24,7 +24,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import piece_rows
 
-        for b in cut(batches, "_text", 6_000_000):
+        for b in cut(batches, "_text", 6_000_000, keep=True):
             rows = piece_rows(texts_of(b, "_text"), path, end_id, capacity)
             which, piece, start, length, crc = (np.array(x, np.int64) for x in zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -27,7 +27,7 @@ def token_counts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import unigram_counts
 
-        for b in cut(batches, "_text", 6_000_000):
+        for b in cut(batches, "_text", 6_000_000, keep=True):
             n, score = unigram_counts(texts_of(b, "_text"), path)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(score)], ["doc_id", "n_tokens", "score"])
 

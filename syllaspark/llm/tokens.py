@@ -14,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-from .common import SPACE, Words, mix, ragged, words_of
+from .common import SPACE, WORKER_CACHES, Words, mix, ragged, words_of
 
 #: Distinct chunks a worker remembers; beyond it begins anew, so its memory is bounded.
 MEMO = 2_000_000
@@ -80,6 +80,9 @@ def _bpe(path: str) -> ChunkTable:
     return ChunkTable(encode, np.uint32)
 
 
+WORKER_CACHES.append(_bpe.cache_clear)
+
+
 def bpe_ids(texts: pa.StringArray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """ids of all texts in a row, and where each text's ids begin (one place more than texts).
 
