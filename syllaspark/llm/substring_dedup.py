@@ -100,7 +100,14 @@ def _deal(arrays: tuple[np.ndarray, ...], part: np.ndarray, parts: int, size: np
 def repeated_windows(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, place) of all windows of some runs whose words also start earlier: in a document with a smaller id, or before in the same one."""
     _, kind, many = np.unique(key, return_inverse=True, return_counts=True)
-    use = np.flatnonzero((many[kind] > 1) | (size > WINDOW - SEED + 1))
+    most = WINDOW - SEED + 1
+    looked = (many[kind] > 1) | (size > most)
+    # A shorter run that is alone with its minimiser has equal windows only if its words repeat with a period below its length.
+    run = np.repeat(np.arange(len(size), dtype=_I32), size)
+    for lag in range(1, most):
+        at = np.flatnonzero((high[lag:] == high[:-lag]) & (low[lag:] == low[:-lag]))
+        looked[run[at[run[at] == run[at + lag]]]] = True
+    use = np.flatnonzero(looked)
     pick = ragged((np.cumsum(size) - size)[use], size[use])
     owner = np.repeat(use, size[use])
     own = mix(key[owner]) ^ mix((high[pick].astype(_U64) << _U64(16)) | low[pick])

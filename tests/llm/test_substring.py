@@ -62,3 +62,14 @@ def test_against_brute_force(spark):
     assert S.dedup(df.limit(0)).count() == 0
     r = S.dedup(df, with_text=True).where("n_removed > 0").first()
     assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
+
+
+def test_short_periodic_passages_that_stand_once(spark):
+    docs = []
+    for period in (1, 2, 5, 13, 14, 15):
+        for n in (20, 21, 22, 25, 28, 33, 34, 35, 40):
+            phrase = [f"p{period}n{n}k{k}" for k in range(period)]
+            docs.append((len(docs), " ".join(["a%d" % n, *(phrase * 40)[:n], "b%d" % period])))
+    got = sorted((tuple(r) for r in S.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(docs)
+    assert S.dedup(spark.createDataFrame([(1, "x " * 25)], "doc_id long, text string")).first().n_removed == 24
