@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -250,9 +251,24 @@ def word_budget(spark, sf):
     return M.word_budget(docs_of(spark, sf), STEPS)
 
 
+def _ppl(kind, train, test):
+    """Perplexity of a model of train's documents on test's, 2 decimals; train and test have no document in common."""
+    m = E.fit(kind, train)
+    roles = m.roles.cache()
+    m = E.Model(kind, V.vocabulary(kind, roles).cache(), roles)
+    t = E.encode(m, train.unionByName(test)).select("doc_id", "token").cache()
+    ppl = M.unigram_ppl(t.where(~M.is_test()), t.where(M.is_test())).select(F.round("ppl", 2)).first()[0]
+    for x in (t, m.vocab, roles):
+        x.unpersist()
+    return ppl
+
+
 @query
 def ppl_curve(spark, sf):
-    """algorithm, step, ppl: the raw-script and CV models trained on growing prefixes of the train split, tested on the same test split."""
+    """algorithm, step, ppl: the raw-script, CV and hybrid models trained on growing prefixes of the train split, tested on the same test split; null where no document fits the step.
+
+    A step's models are computed before the next step's, so that no plan holds all of them; steps with the same documents share them.
+    """
     docs = docs_of(spark, sf).cache()
     train, test = docs.where(~M.is_test()), docs.where(M.is_test())
     counted = train.select("doc_id", "text", M.n_words(F.col("text")).cast("long").alias("w"))
@@ -261,23 +277,26 @@ def ppl_curve(spark, sf):
     inside = Window.partitionBy(F.expr("doc_id div 1024")).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     ranges = counted.groupBy(F.expr("doc_id div 1024").alias("range")).agg(F.sum("w").alias("t"))
     before = ranges.select("range", F.coalesce(F.sum("t").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    cum = counted.withColumn("c", F.sum("w").over(inside)).withColumn("range", F.expr("doc_id div 1024")).join(before, "range").select("doc_id", "text", (F.col("c") + F.col("b")).alias("c")).cache()
-    out = None
-    for step in STEPS[:4]:
-        part = cum.where(F.col("c") <= step).select("doc_id", "text")
-        for kind in ("gms", "cv"):
-            m = E.fit(kind, part)
-            m = E.Model(kind, m.vocab.cache(), None)
-            ppl = M.unigram_ppl(E.encode(m, part), E.encode(m, test)).select(F.lit(kind).alias("algorithm"), F.lit(step).cast("long").alias("step"), F.round("ppl", 2).alias("ppl"))
-            out = ppl if out is None else out.unionByName(ppl)
-    return out
+    cum = counted.withColumn("c", F.sum("w").over(inside)).withColumn("range", F.expr("doc_id div 1024")).join(before, "range").select("doc_id", "text", (F.col("c") + F.col("b")).alias("c")).where(F.col("c") <= STEPS[-1]).cache()
+    sizes = cum.agg(*(F.count_if(F.col("c") <= step).alias(str(step)) for step in STEPS)).first()
+    kinds = "gms", "cv", "hybrid"
+    points, rows = {0: [None] * len(kinds)}, []
+    with ThreadPoolExecutor(len(kinds)) as pool:
+        for step in STEPS:
+            n, part = sizes[str(step)], cum.where(F.col("c") <= step).select("doc_id", "text")
+            if n not in points:
+                points[n] = list(pool.map(lambda kind: _ppl(kind, part, test), kinds))  # noqa: B023
+            rows += [(kind, step, ppl) for kind, ppl in zip(kinds, points[n], strict=True)]
+    for x in (cum, docs):
+        x.unpersist()
+    return spark.createDataFrame(rows, "algorithm string, step long, ppl double")
 
 
 @query
 def ppl_curve_pivot(spark, sf):
     c = ppl_curve(spark, sf)
     shown = F.when(F.col("ppl").isNull(), "N/A").when(F.col("ppl") > 99_999, ">>99K").otherwise(F.format_number("ppl", 2))
-    return c.withColumn("shown", shown).groupBy("algorithm").pivot("step", STEPS[:4]).agg(F.first("shown"))
+    return c.withColumn("shown", shown).groupBy("algorithm").pivot("step", STEPS).agg(F.first("shown"))
 
 
 @query

@@ -117,3 +117,20 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
     X.grow_vocabulary(stream, "gms", m.vocab, str(tmp_path / "v"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "v/version=0")).count() == 1427
+
+
+def test_whole_learning_curve(spark, tmp_path):
+    from syllaspark.operators import metrics as M
+    from syllaspark.plans import queries as Q
+
+    words = "the house of trees and rivers lights up a morning".split()
+    rows = [(k, " ".join(words[(i * i + k) % len(words)] for i in range(n))) for k, n in ((0, 50), (3, 800), (4, 240_000), (5, 100_000))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.algorithm, r.step): r.ppl for r in Q.ppl_curve(spark, str(tmp_path)).collect()}
+    assert set(got) == {(k, s) for k in ("gms", "cv", "hybrid") for s in Q.STEPS}
+    docs = Q.docs_of(spark, str(tmp_path))
+    part = docs.where(F.col("doc_id").isin([3, 4]))
+    m = E.fit("hybrid", part)
+    want = M.unigram_ppl(E.encode(m, part), E.encode(m, docs.where(M.is_test()))).first().ppl
+    assert got["hybrid", 250_000] == pytest.approx(want, abs=0.006)
+    assert all(got[k, 25_000] == got[k, 225_000] != got[k, 250_000] for k in ("gms", "cv", "hybrid"))
