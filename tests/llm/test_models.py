@@ -39,6 +39,25 @@ def test_language_id(spark):
     assert {x.lang_pred for x in L.identify(docs, L.train(empty)).collect()} == {"und"}
 
 
+def test_language_id_keeps_every_gram(spark, monkeypatch):
+    r = random.Random(3)
+    words = {"en": "the and with house of tree", "de": "der und mit haus von baum"}
+    rows = [(i, " ".join([*r.choices(words[x].split(), k=r.randint(1, 40)), "".join(r.choices("qxyzj", k=6))]), x) for i in range(200) for x in [r.choice(["en", "de"])]]
+    rows += [(900, None, "en"), (901, "", "de"), (902, "12 !!", None), (903, rows[0][1], "en"), (904, "Ωμέγα " * 30, None), (None, "der baum", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def results():
+        model = L.train(docs)
+        return sorted(map(tuple, L.identify(docs, model).collect()), key=str), sorted(map(str, L.keep_known(docs, model).collect()))
+
+    whole, kept = results()
+    monkeypatch.setattr(L, "MAX_GRAMS", 100)
+    got, got_kept = results()
+    assert got_kept == kept and len(got) == len(rows)
+    for a, b in zip(got, whole, strict=True):
+        assert (a[:3], a[5]) == (b[:3], b[5]) and np.allclose(a[3:5], b[3:5], atol=1e-4)
+
+
 def test_quality(spark):
     r = random.Random(2)
     rows, labels = [], []
