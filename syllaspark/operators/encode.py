@@ -13,7 +13,7 @@ from ..functions import script
 from .segment import segment
 
 
-#: Tokens that are broadcast to the rule-based splits at most.
+#: Tokens that are broadcast to the rule-based splits at most; of more, each word is joined with those that its split may ask for.
 MOST_BROADCAST = 5_000_000
 _UNIT = {
     # A comma and a space are one token of the raw-script vocabulary; a comma is never part of a longer one.
@@ -109,37 +109,89 @@ def split_hybrid(word: str, have: set[str], words: set[str], most: int, suffixes
             return [*out, *(script.recompose_py(x) for x in _longest(cv, have, most))]
 
 
+def _parts(w: str, most: int) -> set[str]:
+    return {w[i:j] for i in range(len(w)) for j in range(i + 1, min(i + most, len(w)) + 1)}
+
+
+def asked_morph(w: str, most: int) -> tuple[set[str], set[str]]:
+    """Tokens and stems that split_morph may look for in a word: its parts, of the longest token's length at most."""
+    parts = _parts(w, most)
+    return parts, parts
+
+
+def asked_hybrid(word: str, most: int, prefixes: list[tuple[str, str]]) -> tuple[set[str], set[str]]:
+    """Tokens and words that split_hybrid may look for in a word: parts of its CV form, and the words that are left without listed prefixes."""
+    words, parts, queue = {word}, set(), [word]
+    while queue:
+        cv = script.decompose_py(queue.pop())
+        parts |= _parts(cv, most)
+        rests = {script.recompose_py(cv[len(c) :]) for _, c in prefixes if cv.startswith(c) and len(c) < len(cv)} - words
+        words |= rests
+        queue.extend(rests)
+    return parts, words
+
+
+def _joined_pieces(kind: str, distinct: DataFrame, tokens: DataFrame, known: DataFrame, lists: tuple) -> DataFrame:
+    """word, pieces of distinct words by the same splits as with sets that are broadcast, each with the tokens that it has of the tables (token)."""
+    most = int(tokens.agg(F.max(F.length("token"))).first()[0])
+    longest = max(most, int(known.agg(F.coalesce(F.max(F.length("token")), F.lit(0))).first()[0]))
+
+    @F.pandas_udf("array<struct<known:boolean,token:string>>")
+    def asked(s: pd.Series) -> pd.Series:
+        both = (asked_morph(w, longest) if kind == "morph" else asked_hybrid(w, longest, lists[1]) for w in s)
+        return pd.Series([[(bool(k), x) for k, xs in enumerate(sides) for x in xs] for sides in both])
+
+    split = split_morph if kind == "morph" else split_hybrid
+
+    @F.pandas_udf("array<struct<at:int,piece:string>>")
+    def pieces(words: pd.Series, have: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([_placed(split(w, set(a), set(b), most, *lists)) for w, a, b in zip(words, have, known, strict=True)])
+
+    every = tokens.select("token", F.lit(False).alias("known")).unionByName(known.select("token", F.lit(True).alias("known")))
+    found = distinct.select("word", F.explode(asked("word")).alias("a")).select("word", "a.*").join(every, ["token", "known"], "left_semi")
+    sets = found.groupBy("word").agg(F.expr("collect_list(token) FILTER (WHERE NOT known)").alias("have"), F.expr("collect_list(token) FILTER (WHERE known)").alias("known"))
+    none = F.expr("cast(array() as array<string>)")
+    both = distinct.join(sets, "word", "left").select("word", F.coalesce("have", none).alias("have"), F.coalesce("known", none).alias("known"))
+    return both.select("word", pieces("word", "have", "known").alias("pieces"))
+
+
+def _placed(parts: list[str]) -> list[tuple[int, str]]:
+    at, row = 1, []
+    for p in parts:
+        row.append((at, p))
+        at += len(p)
+    return row
+
+
 def _rule_pieces(model: Model, distinct: DataFrame) -> DataFrame:
-    """word, pieces by the rule-based splits, in an Arrow function over distinct words with the token sets broadcast, whose size is checked."""
+    """word, pieces by the rule-based splits, in an Arrow function over distinct words with the token sets broadcast, or joined if they are too large."""
     spark, kind = distinct.sparkSession, model.kind
-    if model.vocab.count() > MOST_BROADCAST:
-        raise ValueError("the vocabulary is too large for the rule-based splits")
-    have = {r.token for r in model.all_tokens().select("token").toLocalIterator()}
     role = "stem" if kind == "morph" else "word"
-    known = {r.token for r in model.roles.where(F.col("role") == role).select("token").distinct().toLocalIterator()}
+    known_rows = model.roles.where(F.col("role") == role).select("token").distinct()
     if kind == "morph":
         lists = [script.decompose_py(x) for x in script.MORPH_SUFFIXES], [script.decompose_py(x) for x in script.MORPH_PREFIXES]
     else:
-        known = {script.recompose_py(x) for x in known}
         lists = [(x, script.decompose_py(x)) for x in script.HYBRID_SUFFIXES], [(x, script.decompose_py(x)) for x in script.HYBRID_PREFIXES]
-    state = spark.sparkContext.broadcast((have, known, max(map(len, have)), *lists))
     separator = script.SEPARATED.split("|")[0][1:]
+    is_sep = F.col("word").rlike(f"^[{script.WS}]$" if kind == "morph" else f"^{separator}$")
+    whole = F.expr("array(named_struct('at', 1, 'piece', word))")
+    separators = distinct.where(is_sep).select("word", whole.alias("pieces"))
+    if model.vocab.count() > MOST_BROADCAST:
+        if kind == "hybrid":
+            known_rows = known_rows.select(script.recompose(F.col("token")).alias("token")).distinct()
+        return separators.unionByName(_joined_pieces(kind, distinct.where(~is_sep), model.all_tokens().select("token"), known_rows, lists))
+    have = {r.token for r in model.all_tokens().select("token").toLocalIterator()}
+    known = {r.token for r in known_rows.toLocalIterator()}
+    if kind == "hybrid":
+        known = {script.recompose_py(x) for x in known}
+    state = spark.sparkContext.broadcast((have, known, max(map(len, have)), *lists))
     split = split_morph if kind == "morph" else split_hybrid
 
     @F.pandas_udf("array<struct<at:int,piece:string>>")
     def pieces(s: pd.Series) -> pd.Series:
-        out = []
-        for w in s:
-            at, row = 1, []
-            for p in split(w, *state.value):
-                row.append((at, p))
-                at += len(p)
-            out.append(row)
-        return pd.Series(out)
+        return pd.Series([_placed(split(w, *state.value)) for w in s])
 
-    is_sep = F.col("word").rlike(f"^[{script.WS}]$" if kind == "morph" else f"^{separator}$")
-    whole = F.expr("array(named_struct('at', 1, 'piece', word))")
-    return distinct.where(is_sep).select("word", whole.alias("pieces")).unionByName(distinct.where(~is_sep).select("word", pieces("word").alias("pieces")))
+    return separators.unionByName(distinct.where(~is_sep).select("word", pieces("word").alias("pieces")))
 
 
 def unit_pieces(model: Model, distinct: DataFrame) -> DataFrame:

@@ -86,6 +86,19 @@ def test_morph(spark):
     assert e[0] == [("በ", 677), ("ሰ", 873), ("ው", 653)] and [x for x, _ in f[0]] == ["ሰ", "ው"] and g[0] == [("መጽሐፍ", 713)]
 
 
+@pytest.mark.parametrize("kind", ["morph", "hybrid"])
+def test_rule_splits_beyond_the_broadcast(spark, monkeypatch, kind):
+    texts = ["ሰው ሰዎች ልጅ ልጆች መጽሐፍ መጻሕፍት", "በሰው የሰው ለሰው ከሰው ይጫወታሉ በልጅ የልጆች"]
+    m = E.fit(kind, frame(spark, *texts))
+    docs = frame(spark, *texts, "ከይጫወታሉ ለልጆች የበልጅ። x ሑኣ ከከሰዎች\tየሕኡኣኦች  ኣኣኣኣ", "", None)
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    want = E.encode(m, docs)
+    want = rows(want), rows(E.decode_ids(m, want))
+    monkeypatch.setattr(E, "MOST_BROADCAST", 10)
+    got = E.encode(m, docs)
+    assert (rows(got), rows(E.decode_ids(m, got))) == want
+
+
 def test_merges(spark):
     def run(f, parts):
         return spark.createDataFrame([(parts,)], "p array<string>").select(f(F.col("p")).alias("x")).first().x
