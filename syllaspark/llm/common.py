@@ -30,9 +30,11 @@ BATCH_BYTES = "8m"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file:///tmp/checkpoints/syllaspark"
     return f"{base.rstrip('/')}/stored"
 
@@ -111,6 +113,15 @@ def fold_of(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3
 
 
+def one_of_repeated(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows, but one only of those that are alike in keys. Few rows repeat, so only those are shuffled whole: the others are told by their keys."""
+    again = stored(rows.groupBy(*(F.col(k).alias(f"_again_{i}") for i, k in enumerate(keys))).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    if again.isEmpty():
+        return rows
+    on = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_again_{i}")) for i, k in enumerate(keys)))
+    return rows.join(again, on, "left_anti").unionByName(rows.join(again, on, "left_semi").dropDuplicates(list(keys)))
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 

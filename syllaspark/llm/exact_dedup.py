@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import n_partitions, one_of_repeated, stored, table
 
 #: Runs at the leaves, and the bits of a run's number that a round removes: rounds merge 4 runs into one until one is left.
 RUN_BITS, ROUND_BITS = 6, 2
 _KEY = ["text_sha256", "norm_len", "norm_check"]
+#: Digest ranges: each has a tree of its own, so the last round's runs are dealt over as many tasks as there are ranges.
+RANGES = 4096
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -23,7 +25,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         F.length("_norm").alias("norm_len"),
         F.xxhash64("_norm").alias("norm_check"),
         F.pmod(F.spark_partition_id(), F.lit(1 << RUN_BITS)).alias("run"),
-    )
+    ).withColumn("digest_range", F.pmod(F.conv(F.substring("text_sha256", 1, 8), 16, 10).cast("long"), F.lit(RANGES)).cast("int"))
 
 
 def _best() -> Column:
@@ -34,15 +36,20 @@ def _best() -> Column:
 def winners(leaves: DataFrame) -> DataFrame:
     """One row per digest: the row that stays and the group's size.
 
-    Each run is sorted by digest (the minimum of a struct makes Spark aggregate by sorting). In a round the
-    partitions exchange runs: the four runs whose numbers differ in the lowest bits are merged, and of each digest
-    only the best row stays. So no task ever gets more rows of one digest than a round merges, however many copies
-    there are. A second hash and the length are part of the key, so a merge is verified at every level: texts of
-    equal digests that differ in them are never taken for copies.
+    A run is what some partitions have of a range of digests, sorted by digest. In a round the partitions exchange
+    runs: the four whose numbers differ in the lowest bits go to one partition (the exchange is by range and run, and
+    the rows are sorted as they come together), are merged there in order, and of each digest only the best row stays.
+    Aggregation by sorting reads the merged runs as they lie, without an exchange of its own. So no task ever gets
+    more rows of one digest than a round merges, however many copies there are. A second hash and the length are part
+    of the key, so a merge is verified at every level: texts of equal digests that differ in them are never taken for
+    copies.
     """
-    level = leaves.groupBy(*_KEY, "run").agg(F.min(_best()).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    at = ["digest_range", "run"]
+    n = n_partitions(leaves.sparkSession)
+    level = leaves.groupBy(*at, *_KEY).agg(F.min(_best()).alias("best"), F.count(F.lit(1)).alias("group_size"))
     for _ in range(0, RUN_BITS, ROUND_BITS):
-        level = level.withColumn("run", F.shiftright("run", ROUND_BITS)).groupBy(*_KEY, "run").agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
+        runs = level.withColumn("run", F.shiftright("run", ROUND_BITS)).repartition(n, *at).sortWithinPartitions(*at, *_KEY)
+        level = runs.groupBy(*at, *_KEY).agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
     return level.select(*_KEY, F.col("best.keep_id").alias("keep_id"), "group_size", F.col("best.a").alias("_best_points"))
 
 
@@ -51,7 +58,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Texts are equal when identical after deleting white space `[\\x20\\x09-\\x0D]`; a null text counts as empty.
     Of equal texts the one with the most code points stays, then the one with the smallest id; rows that repeat
-    both are all marked as kept (the id stays). A null id counts as the largest. Other columns are not read, so
+    both are all marked as kept (the id stays; `dedup_filter` keeps one of them). A null id counts as the largest. Other columns are not read, so
     they may have any name. An empty table gives an empty result.
     """
     leaves = stored(digests(docs, doc_id, text))
@@ -65,9 +72,13 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def dedup_filter(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat id and text, all stay."""
-    kept = exact_dedup(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that stay, with all their columns: one of each group. Of rows that repeat an id, those with the text that stays; of rows that repeat id and text, one."""
+    kept = exact_dedup(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "")
+    # Only rows whose id stays for some text are digested again.
+    some = docs.join(kept.select("_kept_id").distinct(), F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
+    left = some.withColumn("_sha", F.sha2(norm.cast("binary"), 256)).join(kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    return one_of_repeated(left, doc_id, "_sha").drop("_sha")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

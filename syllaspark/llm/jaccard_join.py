@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, forget, mix, parts_for, ragged, ship, shingles, stored, table, texts_of, words_of
+from .common import SPACE, cut, forget, mix, one_of_repeated, parts_for, ragged, ship, shingles, stored, table, texts_of, words_of
 from .components import components
 
 #: Shingles that more sets have than this are ordered last, at most HOT_MOST of them, the most frequent; it is a matter of speed only.
@@ -349,10 +349,11 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their component, with all their columns; rows with a null id stay."""
+    """The rows of docs that are the first of their component, with all their columns, one of those that repeat id and text; rows with a null id stay."""
     first = join(docs, n, percent, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     null = docs.where(F.col(doc_id).isNull())
-    return docs.join(first, docs[doc_id] == first["_first"], "left_semi").unionByName(null)
+    left = docs.join(first, docs[doc_id] == first["_first"], "left_semi").withColumn("_sha", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
+    return one_of_repeated(left, doc_id, "_sha").drop("_sha").unionByName(null)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

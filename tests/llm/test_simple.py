@@ -18,7 +18,8 @@ def test_exact_dedup(spark):
     want = sorted(((i, min(groups[norm(t)])[3], len(groups[norm(t)]), i == min(groups[norm(t)])[3], hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows), key=str)
     assert sorted((tuple(x) for x in X.exact_dedup(df).collect()), key=str) == want
     kept = X.dedup_filter(df)
-    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {x[1] for x in want}
+    assert kept.columns == df.columns and sorted((x.doc_id, norm(x.text)) for x in kept.collect() if x.doc_id is not None) == sorted({(i, norm(t)) for i, t in rows if i is not None and min(groups[norm(t)])[3] == i})
+    assert kept.count() == len(groups)
     assert X.exact_dedup(df.limit(0)).count() == 0
 
 
@@ -42,14 +43,54 @@ def test_urls(spark):
     assert t.find("q.a.com", "/xyz") == ("a.com/x", "block") and t.find("a.com", "/x/yz/1") == ("a.com/x/y", "block") and t.find("b", "/") == ("/", "allow") and t.find("b", "") is None
 
 
+def audited(spark, ours, theirs, kind="long"):
+    frames = (spark.createDataFrame([(*x, 7) for x in rows], f"page_id {kind}, url string, html string, archive_id int").repartition(3) for rows in (ours, theirs))
+    return W.audit(*frames)
+
+
+def brute_audit(ours, theirs):
+    """Sorted (page_id, kind, expected, found): multisets of records, what is lost and new of an id paired in order."""
+    from collections import Counter
+
+    def sha(u, b):
+        b = b or ""
+        return hashlib.sha256(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {u or ''}\r\nContent-Length: {len(b.encode())}\r\n\r\n{b}\r\n\r\n".encode()).hexdigest()
+
+    a, b = (Counter((i, sha(u, t)) for i, u, t in rows) for rows in (ours, theirs))
+    out = []
+    for i in {k[0] for k in [*a, *b]}:
+        lost, new = (sorted(s for (j, s), n in (x - y).items() if j == i for _ in range(n)) for x, y in ((a, b), (b, a)))
+        pairs = min(len(lost), len(new)) if i is not None else 0
+        out += [(i, "altered", x, y) for x, y in zip(lost[:pairs], new[:pairs], strict=True)]
+        out += [(i, "missing", x, None) for x in lost[pairs:]] + [(i, "extra", None, y) for y in new[pairs:]]
+    return sorted(out, key=str)
+
+
+def plain(df):
+    return sorted(((x.page_id, x.kind, x.expected_sha256, x.found_sha256) for x in df.collect()), key=str)
+
+
 def test_audit(spark):
-    rows = [(i, f"http://h/{i}", "body " * (i % 7)) for i in range(0, 9000, 3)] + [(20_000, None, None), (None, "u", "h")]
-    ours = spark.createDataFrame(rows, "page_id long, url string, html string")
-    theirs = [(i, u, (b or "") + "!" if i == 300 else b) for i, u, b in rows if i not in (6, 20_000)] + [(10, "x", "new")]
-    theirs = spark.createDataFrame(theirs, "page_id long, url string, html string").repartition(3)
-    got = {x.page_id: x for x in W.audit(ours, theirs).collect()}
-    assert {i: x.kind for i, x in got.items()} == {300: "altered", 6: "missing", 20_000: "missing", 10: "extra"}
-    length = lambda u, b: len(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {u}\r\nContent-Length: {len(b)}\r\n\r\n{b}\r\n\r\n")
-    assert got[300].record_offset == sum(length(u, b) for i, u, b in rows if i is not None and i < 300) and got[300].record_length == length(*rows[100][1:])
-    assert W.audit(ours, ours.repartition(5)).count() == 0 and W.audit(ours.limit(0), ours.limit(0)).count() == 0
-    assert W.audit(ours.limit(0), ours).count() == len(rows) - 1
+    rows = [(i, f"http://h/{i}", "body é" * (i % 7)) for i in range(0, 9000, 3)] + [(20_000, None, None), (None, "u", "h"), (None, "u", "h"), (None, None, "x" * 300_000)]
+    theirs = [(i, u, (b or "") + "!" if i == 300 else b) for i, u, b in rows if i not in (6, 20_000)] + [(10, "x", "new"), (None, "u", "h"), (12, "again", "b")]
+    got = audited(spark, rows, theirs)
+    assert plain(got) == brute_audit(rows, theirs)
+    at = {x.page_id: x for x in got.collect()}
+    length = lambda u, b: len(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {u}\r\nContent-Length: {len(b.encode())}\r\n\r\n{b}\r\n\r\n".encode())
+    assert at[300].record_offset == sum(length(u, b) for i, u, b in rows if i is not None and i < 300) and at[300].record_length == length(*rows[100][1:])
+    assert audited(spark, rows, rows[::-1]).count() == 0
+    assert plain(audited(spark, [], rows)) == brute_audit([], rows)
+
+
+def test_audit_of_repeated_large_and_text_ids(spark, monkeypatch):
+    r = random.Random(3)
+    big = [(r.randrange(-(1 << 63), 1 << 63), "u", f"b{i}") for i in range(400)]
+    ours = big + [(5, "u", "A"), (5, "u", "B"), (6, "u", "A"), (6, "u", "A"), (None, "u", "gone")]
+    theirs = big[1:] + [(5, "u", "A"), (5, "u", "C"), (6, "u", "A"), (None, "u", "A")]
+    text = lambda rows: [(None if i is None else f"p{i}", u, b) for i, u, b in rows]
+    assert plain(audited(spark, text(ours), text(theirs), "string")) == brute_audit(text(ours), text(theirs))
+    monkeypatch.setattr(W, "HOT_RECORDS", 20)
+    hot = [(9, "u", f"h{i}") for i in range(60)]
+    got = plain(audited(spark, ours + hot, theirs + hot[:50] + [(9, "u", "new")]))
+    assert [x[1] for x in got if x[0] == 9] == ["extra"] + ["missing"] * 10
+    assert [x for x in got if x[0] != 9] == brute_audit(ours, theirs)
