@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -103,19 +104,24 @@ class Queries:
     item: np.ndarray
     ids: list[str]
 
+    def names(self, window: int) -> list[str]:
+        """The ids of the items that have a window."""
+        own = self.item[np.searchsorted(self.window, window) : np.searchsorted(self.window, window, side="right")]
+        return [self.ids[i] for i in own if i >= 0]
 
-def make_queries(items: list[tuple[object, str | None]], n: int = WINDOW) -> Queries:
-    """Windows of n consecutive words of each item; an item of fewer, but not none, is one window. Items with a null id are no items."""
-    items = [(str(i), x or "") for i, x in items if i is not None]
-    ids = sorted({i for i, _ in items})
-    number = {x: k for k, x in enumerate(ids)}
+
+def make_queries(items: list[tuple[object, str | None]], n: int = WINDOW, short: bool = True) -> Queries:
+    """Windows of n consecutive words of each item; an item of fewer, but not none, is one window (not if short is false). The windows of items with a null id have no item (-1)."""
+    items = [(None if i is None else str(i), x or "") for i, x in items]
+    ids = sorted({i for i, _ in items if i is not None})
+    number = {None: -1} | {x: k for k, x in enumerate(ids)}
     w = words_of(pa.array([x for _, x in items], pa.string()), SEPARATORS, lower=True)
     h = w.hashes()
     seen: dict[tuple[int, ...], int] = {}
     pairs = set()
     for k, (i, _) in enumerate(items):
         own = h[w.first[k] : w.first[k + 1]].tolist()
-        for j in range(max(1, len(own) - n + 1) if own else 0):
+        for j in range(max(1 if short else 0, len(own) - n + 1) if own else 0):
             pairs.add((seen.setdefault(tuple(own[j : j + n]), len(seen)), number[i]))
     at = np.concatenate([[0], np.cumsum([len(x) for x in seen])]).astype(np.int64)
     window, item = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
@@ -134,78 +140,121 @@ def search_segment(seg: Segment, q: Queries, span: int | None = None) -> Iterato
             yield int(k), found
 
 
-def query_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[Broadcast]:
-    """The benchmark's windows, broadcast in blocks of items of at most about BLOCK_BYTES; a segment is searched for one block after the other."""
+def query_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", short: bool = True) -> Iterator[tuple[Broadcast, bool]]:
+    """The benchmark's windows in blocks of items of at most about BLOCK_BYTES, each broadcast as it is asked for; and whether it is the only one."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("x"))
     total = items.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     n = 1 + total // BLOCK_BYTES
     blocks = (items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) for k in range(n))
-    return [spark.sparkContext.broadcast(make_queries([(r.i, r.x) for r in b.collect()])) for b in blocks]
+    for b in blocks:
+        yield spark.sparkContext.broadcast(make_queries([(r.i, r.x) for r in b.collect()], short=short)), n == 1
+
+
+def _pass(run_of, index: DataFrame, benchmark: DataFrame, schema: str, short: bool = True) -> list[DataFrame]:
+    """The index searched for one block of the benchmark after the other. Of several, each block's results are written before the next block is broadcast, so only one is in memory."""
+    out = []
+    for block, alone in query_blocks(benchmark, short=short):
+        found = index.mapInArrow(run_of(block), schema)
+        if not alone:
+            found = stored(found)
+            block.destroy()
+        out.append(found)
+    return out
 
 
-def search(index: DataFrame, blocks: list[Broadcast], span: int | None = None) -> DataFrame:
-    """doc_id, item_id, position of every exact occurrence (span None) or proximity match of every window of every item."""
+def search(index: DataFrame, benchmark: DataFrame, span: int | None = None) -> DataFrame:
+    """doc_id, item_id, position of every exact occurrence (span None) or proximity match of every window of every item. Items with a null id aren't searched for."""
     ship(index.sparkSession)
     kind = index.schema["doc_id"].dataType.elementType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                seg = Segment(r["first"], r["terms"], r["counts"], r["positions"])
-                rows = []
-                for block in blocks:
-                    q = block.value
+    def run_of(block: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = block.value
+            for b in batches:
+                for r in b.to_pylist():
+                    seg = Segment(r["first"], r["terms"], r["counts"], r["positions"])
+                    rows = []
                     for k, found in search_segment(seg, q, span):
                         doc = seg.doc_of(found)
-                        names = [q.ids[i] for i in q.item[np.searchsorted(q.window, k) : np.searchsorted(q.window, k, side="right")]]
-                        rows += [(r["doc_id"][d], x, p) for d, p in zip(doc.tolist(), (found - seg.first[doc]).tolist(), strict=True) for x in names]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["doc_id", "item_id", "position"])
+                        rows += [(r["doc_id"][d], x, p) for d, p in zip(doc.tolist(), (found - seg.first[doc]).tolist(), strict=True) for x in q.names(k)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["doc_id", "item_id", "position"])
+
+        return run
 
-    return index.mapInArrow(run, f"doc_id {kind}, item_id string, position long")
+    return functools.reduce(DataFrame.unionByName, _pass(run_of, index, benchmark, f"doc_id {kind}, item_id string, position long"))
 
 
-def contamination(index: DataFrame, blocks: list[Broadcast], min_items: int = MIN_ITEMS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document of the index."""
+def contamination(index: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS, short: bool = True) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document of the index (short: items of fewer than WINDOW words count too).
+
+    With one block of benchmark text that is one narrow pass. With more, each pass leaves a bit per word that was hit
+    and the items of each document; both are put together by document.
+    """
     ship(index.sparkSession)
     kind = index.schema["doc_id"].dataType.elementType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                row = b.slice(k, 1)
-                ids = row.column(0).flatten()
-                seg = Segment(*(row.column(c)[0].as_py() for c in range(1, 5)))
-                n = len(ids)
-                edge = np.zeros(int(seg.first[-1]) + 1, np.int32)
-                items: dict[int, set[str]] = {}
-                for block in blocks:
-                    q = block.value
+    def run_of(block: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = block.value
+            for b in batches:
+                for k in range(b.num_rows):
+                    row = b.slice(k, 1)
+                    ids = row.column(0).flatten()
+                    packed = [row.column(c)[0].as_py() for c in range(1, 5)]
+                    seg = Segment(*packed)
+                    n = len(ids)
+                    edge = np.zeros(int(seg.first[-1]) + 1, np.int32)
+                    items: dict[int, set[str]] = {}
                     for w, found in search_segment(seg, q):
                         np.add.at(edge, found, 1)
                         np.add.at(edge, found + int(q.at[w + 1] - q.at[w]), -1)
-                        names = [q.ids[i] for i in q.item[np.searchsorted(q.window, w) : np.searchsorted(q.window, w, side="right")]]
                         for d in np.unique(seg.doc_of(found)).tolist():
-                            items.setdefault(d, set()).update(names)
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-                n_hit = hit[seg.first[1:]] - hit[seg.first[:-1]]
-                own = [sorted(items.get(d, ())) for d in range(n)]
-                sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in own]
-                count = np.array([len(x) for x in own], np.int64)
-                columns = [ids, pa.array(np.diff(seg.first).astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(count), pa.array(sha), pa.array(count >= min_items)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return index.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+                            items.setdefault(d, set()).update(q.names(w))
+                    covered = np.cumsum(edge[:-1]) > 0
+                    ends = seg.first.tolist()
+                    bits = [np.packbits(covered[x:y]).tobytes() if d in items else None for d, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+                    name = hashlib.sha256(b"".join(packed)).digest()  # a segment's name, the same in each pass
+                    columns = [ids, pa.array([name] * n, pa.binary()), pa.array(np.arange(n)), pa.array(np.diff(seg.first).astype(np.int64)), pa.array(bits, pa.binary()), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "segment", "nr", "n_words", "bits", "items"])
 
+        return run
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = [int(sum(x.bit_count() for x in bits)) if bits else 0 for bits in b.column("bits").to_pylist()]
+            own = [sorted(set(x)) for x in b.column("items").to_pylist()]
+            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in own]
+            count = np.array([len(x) for x in own], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array(count), pa.array(sha, pa.string()), pa.array(count >= min_items)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    passes = _pass(run_of, index, benchmark, f"doc_id {kind}, segment binary, nr long, n_words long, bits binary, items array<string>", short)
+    if len(passes) > 1:
+        # Equal segments (copies of whole stretches of documents) have equal hits, so they may share a name.
+        each = passes[0].select("doc_id", "segment", "nr", "n_words")
+        some = functools.reduce(DataFrame.unionByName, passes).where(F.col("bits").isNotNull()).select("segment", "nr", "bits", "items").distinct()
+
+        def merge(g: pa.Table) -> pa.Table:
+            bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in g.column("bits").to_pylist()])
+            items = sorted({x for xs in g.column("items").to_pylist() for x in xs})
+            return pa.table({"_s": g.column("segment").slice(0, 1), "_n": g.column("nr").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary()), "items": pa.array([items], pa.list_(pa.string()))})
+
+        merged = some.groupBy("segment", "nr").applyInArrow(merge, "_s binary, _n long, bits binary, items array<string>")
+        every = each.join(merged, (F.col("segment") == F.col("_s")) & (F.col("nr") == F.col("_n")), "left").select("doc_id", "segment", "nr", "n_words", "bits", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    else:
+        every = passes[0]
+    return every.select("doc_id", "n_words", "bits", "items").mapInArrow(judge, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, short: bool = True) -> DataFrame:
     """What `contamination` returns, for docs (doc_id, text) against benchmark (item_id, text).
 
     Null texts have no words. Rows that repeat an id are judged one by one; items that repeat an id are one item with
-    all their windows. Empty tables give no rows, or no hits. Extra columns are not read.
+    all their windows. The words of items with a null id are hit like any others, but such items have no name, so they
+    are neither counted nor listed. Empty tables give no rows, or no hits. Extra columns are not read.
     """
-    return contamination(stored(build_index(docs)), query_blocks(benchmark))
+    return contamination(stored(build_index(docs)), benchmark, short=short)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

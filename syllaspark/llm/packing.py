@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import cut, forget, ship, stored, table, texts_of
 
 CAPACITY, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
-#: Pieces of a partition that are packed together, about; rounds of exchange at most.
-PARTITION_PIECES, ROUNDS = 20_000, 4
+#: Pieces of a partition that are packed together, about.
+PARTITION_PIECES = 20_000
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -92,27 +93,33 @@ def _pack_groups(items: DataFrame, capacity: int) -> DataFrame:
     return items.groupBy("g").applyInPandas(run, f"{fields}, bin long, offset long, fill long, gap long")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32); lengths are 1 to capacity.
+def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PARTITION_PIECES) -> DataFrame:
+    """Adds sequence_id, offset and certified to pieces (doc_id, piece, start, length, ids_crc32); lengths are 1 to capacity.
 
     Partitions of about `per_partition` pieces are packed by best-fit decreasing. A partition whose bin count equals
     its lower bound is certified: no packing of its pieces needs fewer bins. The others keep their full bins; the
     pieces of their bins with room are exchanged: dealt anew into fewer partitions, and packed again, until all are
-    certified, or only one partition is left, or `rounds` are over. Pieces of equal rows are packed as any others.
+    certified, or only one partition is left, or a round saves no bin. certified: whether the sequence is full or from
+    a partition that was certified when it was packed. Pieces of equal rows are packed as any others.
     """
     items = stored(items)
     done: list[DataFrame] = []
     left = items
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    for k in range(rounds):
+    bins_before = None
+    for k in itertools.count():
         n = left.count()
         groups = max(1, -(-n // per_partition))
         dealt = left.select(*columns).withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.lit(k)), F.lit(groups)).cast("int"))
         packed = stored(_pack_groups(dealt, capacity))
         open_ = (F.col("gap") > 0) & (F.col("fill") < capacity)
-        sequence = F.col("bin") * (1 << 24) + F.col("g") * rounds + k
-        last = k + 1 == rounds or groups == 1 or packed.where(open_).limit(1).count() == 0
-        done.append((packed if last else packed.where(~open_)).select(*columns, sequence.alias("sequence_id"), "offset"))
+        # The round, the group and its bin in bits of their own, so that no two sequences share a number.
+        sequence = F.lit(k).cast("long") * (1 << 57) + F.col("g").cast("long") * (1 << 28) + F.col("bin")
+        heads = packed.where(F.col("offset") == 0).agg(F.count(F.lit(1)).alias("all"), F.count_if(open_).alias("open")).first()
+        last = groups == 1 or not heads["open"] or (bins_before is not None and heads["all"] >= bins_before)
+        bins_before = heads["open"]
+        certified = (F.col("gap") == 0) | (F.col("fill") == capacity)
+        done.append((packed if last else packed.where(~open_)).select(*columns, sequence.alias("sequence_id"), "offset", certified.alias("certified")))
         if left is items:
             forget(items)
         if last:
@@ -125,7 +132,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PARTIT
 
 
 def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs' texts. Extra columns are not read; an empty table gives no pieces."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified of every piece of docs' texts.
+
+    Rows that repeat an id, and rows with a null id, are packed one by one. Extra columns are not read; an empty table
+    gives no pieces.
+    """
     import public_tokenizers
 
     return pack(pieces(docs, path or public_tokenizers.path(VOCABULARY)))

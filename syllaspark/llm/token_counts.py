@@ -16,8 +16,11 @@ VOCABULARY = "piece_bpe_32k.model"
 def token_counts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens long, score double (the best segmentation's sum of scores) of every row.
 
-    path: a sentencepiece model file whose pieces and scores are the unigram vocabulary. Null and empty texts have 0
-    tokens. One narrow pass over whole texts.
+    path: a sentencepiece model file whose pieces and scores are taken as the unigram vocabulary. The file given is that
+    of a byte-pair tokenizer, whose scores are its merges' ranks: the counts are those of the best unigram segmentation
+    under these scores, not those of that tokenizer (see README). No file at hand has unigram scores, and none is
+    trained here. Null and empty texts have 0 tokens; rows that repeat an id are counted one by one; other columns are
+    not read; an empty table gives no rows. One narrow pass over whole texts.
     """
     import public_tokenizers
 

@@ -30,6 +30,34 @@ def test_unigram_counts_are_the_librarys():
         assert k == len(t.encode(s).ids), x
 
 
+def plain_viterbi(pieces, text):
+    """Pieces and score of the best segmentation, by trying every piece at every place."""
+    low = min(pieces.values()) - 10
+    best = [(0.0, 0)] + [None] * len(text)
+    for end in range(1, len(text) + 1):
+        for start in range(end):  # only a better path replaces one whose last piece starts earlier
+            s = pieces.get(text[start:end])
+            if s is not None and (best[end] is None or best[start][0] + s > best[end][0]):
+                best[end] = best[start][0] + s, best[start][1] + 1
+        if text[end - 1] not in pieces and (best[end] is None or best[end - 1][0] + low > best[end][0]):
+            best[end] = best[end - 1][0] + low, best[end - 1][1] + len(text[end - 1].encode())
+    return best[-1][1], best[-1][0]
+
+
+def test_counts_against_a_plain_viterbi(spark):
+    pieces = read_pieces(P.path(token_counts.VOCABULARY))
+    texts = [*(x for x in TEXTS if len(x) < 400), "the  quick brown fox, jumps over 12 dogs\n\nagain", " lead and trail  ", None]
+    rows = [(i, x, 5) for i, x in enumerate(texts)] + [(1, texts[0], 6), (1, texts[0], 6), (None, "ab", 1)]
+    got = sorted(map(tuple, token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")).collect()), key=str)
+    want = []
+    for i, x, _ in rows:
+        n, score = plain_viterbi(pieces, "▁" + x.replace(" ", "▁")) if x else (0, 0.0)
+        want.append((i, n, pytest.approx(score, abs=1e-6)))
+    for a, b in zip(got, sorted(want, key=str), strict=True):
+        assert a[:2] == b[:2]
+    assert sorted(x[2] for x in got) == pytest.approx(sorted(x[2].expected for x in want), abs=1e-6)
+
+
 def test_unigram_ties_and_unknown():
     u = Unigram({"a": -1.0, "b": -1.0, "ab": -2.0, "ba": -2.0})
     assert u.count("ab") == (1, -2.0)
@@ -74,6 +102,10 @@ def test_exchange_between_partitions(spark):
     check_layout(got)
     bound = packing.lower_bound(np.array([r[3] for r in rows]))
     assert len({r.sequence_id for r in got}) <= bound * 1.01 + 1
+    for few in (items.where("doc_id < 40 AND length > 1000"), items.where("length > 1500")):
+        one = packing.pack(few).collect()  # a single partition: its sequences are certified if there are as many as the bound
+        least = packing.lower_bound(np.array([r.length for r in one]))
+        assert all(r.certified for r in one) == (len({r.sequence_id for r in one}) == least)
 
 
 def test_lower_bound_is_a_bound():
