@@ -25,8 +25,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of eight words or more of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where((F.col("n_items") > 0) & (F.col("n_hit") >= decontaminate.WINDOW)).select(F.col("doc_id").alias("_bad")).distinct()
+    """Drops the documents that hold a passage of eight words or more of a benchmark item. Shorter items are no passages. Of rows that repeat an id all go if one does."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), short=False).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_bad"]), "left_anti")
 
 
