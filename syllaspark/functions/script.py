@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +19,14 @@ MORPH_SUFFIXES = "ዎቹን ዎቹ ኦች ዎች ዋን ቱን ቱ ዋ ች ን 
 MORPH_PREFIXES = "እስከ እንደ ወደ ስለ ያል አል የ ለ በ ከ ብ".split()
 HYBRID_SUFFIXES = "ዎቹን ዎቹ ኦች ዎች ዋን ቱን ቱ ዋ ች ን".split()
 HYBRID_PREFIXES = "እንደ እስከ ወደ ስለ የ ለ በ ከ".split()
-PUNCTUATION = list(".,;:!?\"'()[]{}") + list("+-*/=<>%&|^~`") + list("$€£¥¢@#§©®™") + ['"', ", ", "–", "—", "…"]
+PUNCTUATION = list(".,;:!?\"'()[]{}") + list("+-*/=<>%&|^~`") + list("$€£¥¢@#§©®™") + [", ", "–", "—", "…"]
 SYMBOLS = list("°±×÷√∞∑∏∫∆∇") + list("←→↑↓↔↕↖↗↘↙") + list("αβγδεζηθικλμνξοπρστυφχψω") + list("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ") + list("0123456789")
 BLOCKS = [(0x1200, 0x1380), (0x1380, 0x13A0), (0x2D80, 0x2DE0), (0x2000, 0x2070), (0x2E00, 0x2E80), (0x20A0, 0x20D0), (0x2200, 0x2300), (0x2600, 0x2700)]
 NAME_VOWELS = ["AA", "EE", "IH", "A", "U", "I", "E", "O", "Ä"]
 UNK, PAD = "<unk>", "<pad>"
 
 
+@functools.cache
 def fidel_pairs() -> list[tuple[str, str]]:
     """(glyph, CV form) of the 271 mapped syllables: a row's base gives its consonant (the sixth order) and the column the vowel."""
     out = [(v, v) for v in map(chr, range(0x12A0, 0x12A8))]
@@ -44,18 +47,18 @@ WORD = rf"([-.,:?!፡።፣]|[^-{WS}.,:?!፡።፣]+)"
 SEPARATED = rf"([{WS}.,;:!?።፡፤፣]|[^{WS}.,;:!?።፡፤፣]+)"
 
 
-def _map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
-
-
 def transliterate(text: Column) -> Column:
     return F.translate(F.lower(text), LATIN, GLYPHS)
 
 
 def normalise(text: Column) -> Column:
-    """Foreign runs become a space; in runs without Latin letters and CJK characters, other digits are kept, one by one."""
-    foreign = f"[^{KEPT}]"
-    text = F.regexp_replace(text, rf"{foreign}*[A-Za-z\x{{4E00}}-\x{{9FFF}}]{foreign}*", " ")
+    """Foreign runs become a space; in runs without Latin letters and CJK characters, other digits are kept, one by one.
+
+    A run is looked at from its beginning only and never given back, so the time is linear in the text.
+    """
+    latin_cjk = r"A-Za-z\x{4E00}-\x{9FFF}"
+    other = f"[^{KEPT}{latin_cjk}]"
+    text = F.regexp_replace(text, rf"(?<!{other}){other}*+[{latin_cjk}][^{KEPT}]*+", " ")
     text = F.regexp_replace(text, r"([^\P{Nd}0-9])", " $1 ")
     return F.regexp_replace(text, rf"[^{KEPT}\p{{Nd}}]+", " ")
 
@@ -66,24 +69,53 @@ def split_words(text: Column) -> Column:
 
 
 def decompose(text: Column, pairs: dict[str, str] | None = None) -> Column:
-    table = _map(dict(pairs or fidel_pairs()))
-    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    """CV form. A glyph's first character and the rest of its form come from two translations, which look characters up by hash; a map would be searched from end to end for every character."""
+    own = {g: cv for g, cv in (pairs.items() if pairs else fidel_pairs()) if g != cv}
+    rests = sorted({cv[1:] for cv in own.values()})
+    mark = {r: chr(0xE000 + k) for k, r in enumerate(rests)}
+    first = F.translate(text, "".join(own), "".join(cv[0] for cv in own.values()))
+    rest = F.translate(text, "".join(own), "".join(mark[cv[1:]] for cv in own.values()))
+
+    def joined(a: Column, b: Column) -> Column:
+        out = F.when(a == b, a)  # neither was translated
+        for r in rests:
+            out = out.when(b == mark[r], F.concat(a, F.lit(r)))
+        return out.otherwise(a)
+
+    return F.array_join(F.zip_with(F.split(first, ""), F.split(rest, ""), joined), "")
 
 
 def recompose(cv: Column) -> Column:
-    table = _map({v: k for k, v in fidel_pairs()})
-    return F.array_join(F.transform(F.regexp_extract_all(cv, F.lit(CV_UNIT), F.lit(1)), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    """Glyphs of a CV form: each unit's consonant is translated to the column of its vowel."""
+    columns = {v: [(c, g) for g, x in fidel_pairs() for c, r in [(x[0], x[1:])] if r == v] for v in VOWELS}
+
+    def glyph(unit: Column) -> Column:
+        vowel, consonant = F.substring(unit, 2, 2), F.substring(unit, 1, 1)
+        out = F.when(vowel == "", unit)
+        for v, own in columns.items():
+            out = out.when(vowel == v, F.translate(consonant, "".join(c for c, _ in own), "".join(g for _, g in own)))
+        return out.otherwise(unit)
+
+    return F.array_join(F.transform(F.regexp_extract_all(cv, F.lit(CV_UNIT), F.lit(1)), glyph), "")
+
+
+def word_mapping(word: Column) -> Column:
+    """{word: its CV form}."""
+    return F.create_map(word, decompose(word))
+
+
+@functools.cache
+def _tables() -> tuple[dict[str, str], dict[str, str]]:
+    return dict(fidel_pairs()), {v: k for k, v in fidel_pairs()}
 
 
 def decompose_py(text: str) -> str:
-    table = dict(fidel_pairs())
+    table = _tables()[0]
     return "".join(table.get(c, c) for c in text)
 
 
 def recompose_py(cv: str) -> str:
-    import re
-
-    table = {v: k for k, v in fidel_pairs()}
+    table = _tables()[1]
     return "".join(table.get(x, x) for x in re.findall(CV_UNIT, cv))
 
 

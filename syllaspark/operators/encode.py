@@ -1,20 +1,18 @@
-"""Encoding: units of text are segmented once per distinct unit, given ids by a join, and put back at their places."""
+"""Encoding: units of text are split once per distinct unit, given ids by a join, and put back at their places; and decoding."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import script
-from .segment import segment
+from ..sources.tables import kept
+from .segment import corpus_words, segment
+from .vocab import learnt, morph_suffixes, vocabulary
 
-
-#: Tokens that are broadcast to the rule-based splits at most; of more, each word is joined with those that its split may ask for.
-MOST_BROADCAST = 5_000_000
 _UNIT = {
     # A comma and a space are one token of the raw-script vocabulary; a comma is never part of a longer one.
     "gms": rf"([{script.WS}]*(?:, |,|[^{script.WS},]+))",
@@ -22,6 +20,8 @@ _UNIT = {
     "morph": rf"([{script.WS}]|[^{script.WS}]+)",
     "hybrid": script.SEPARATED,
 }
+_SEPARATOR = {"morph": f"^[{script.WS}]$", "hybrid": f"^[{script.WS}.,;:!?።፡፤፣]$"}
+_NO_PIECES = "cast(array() as array<string>)"
 
 
 @dataclass
@@ -40,235 +40,225 @@ class Model:
         return self.vocab.unionByName(special)
 
 
-def fit(kind: str, text: DataFrame) -> Model:
-    from .vocab import learnt, vocabulary
+def fit(kind: str, text: DataFrame, old: bool = False) -> Model:
+    """A model of a corpus (text), its tables kept; old: by the older split."""
+    roles = kept(learnt(kind, corpus_words(text), old=old))
+    return Model(kind, kept(vocabulary(kind, roles)), roles)
 
-    roles = learnt(kind, text)
-    return Model(kind, vocabulary(kind, roles), roles)
 
+def units(kind: str, docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, upos, unit, ws: the units of each text as they are written, and the white space before each (for morph and hybrid, white space is a unit). more: further columns to keep."""
+    u = docs.select(*more, "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_UNIT[kind]), F.lit(1))).alias("upos", "raw"))
+    unit = F.regexp_replace("raw", f"^[{script.WS}]+", "") if kind in ("gms", "cv") else F.col("raw")
+    return u.select(*more, "doc_id", "upos", unit.alias("unit"), (F.length("raw") - F.length(unit)).alias("ws"))
 
-def units(kind: str, docs: DataFrame) -> DataFrame:
-    """doc_id, upos, raw, unit, spaced, raw_start of the units of each text, in CV form but for gms and hybrid."""
-    text = F.col("text") if kind in ("gms", "hybrid") else script.decompose(F.col("text"))
-    u = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(_UNIT[kind]), F.lit(1))).alias("upos", "raw"))
-    if kind in ("gms", "cv"):
-        u = u.withColumn("unit", F.regexp_replace("raw", f"^[{script.WS}]+", "")).withColumn("spaced", F.length("unit") < F.length("raw"))
-    else:
-        u = u.withColumn("unit", F.col("raw")).withColumn("spaced", F.lit(False))
-    before = Window.partitionBy("doc_id").orderBy("upos").rowsBetween(Window.unboundedPreceding, -1)
-    return u.withColumn("raw_start", F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)))
-
-
-def _longest(w: str, have: set[str], most: int) -> list[str]:
-    out, i = [], 0
-    while i < len(w):
-        n = next((n for n in range(min(most, len(w) - i), 0, -1) if w[i : i + n] in have), 1)
-        out.append(w[i : i + n])
-        i += n
-    return out
-
-
-def split_morph(w: str, have: set[str], stems: set[str], most: int, suffixes: list[str], prefixes: list[str]) -> list[str]:
-    """A CV word by rules: a listed suffix, else a known one; then a listed prefix; else a prefix alone; else whole, or the longest tokens."""
-    if len(w) <= 2:
-        return [w]
-    suffix = next((s for s in suffixes if w.endswith(s) and len(w) - len(s) >= 2), None)
-    if suffix is None:
-        for n in range(min(len(w) - 2, 10), 0, -1):
-            if w[-n:] in have and (w[:-n] in stems or w[:-n] in have) and len(w) - n >= 2:
-                suffix = w[-n:]
-                break
-    if suffix is not None:
-        stem = w[: len(w) - len(suffix)]
-        prefix = next((p for p in prefixes if stem.startswith(p) and len(stem) - len(p) >= 2), None)
-        return [prefix, stem[len(prefix) :], suffix] if prefix else [stem, suffix]
-    for p in prefixes:
-        rest = w[len(p) :]
-        if w.startswith(p) and len(rest) >= 2 and (rest in stems or rest in have):
-            return [p, rest]
-    return [w] if w in stems else _longest(w, have, most)
-
-
-def split_hybrid(word: str, have: set[str], words: set[str], most: int, suffixes: list[tuple[str, str]], prefixes: list[tuple[str, str]]) -> list[str]:
-    """A word by rules: (stem, listed suffix), or whole if the corpus has it, or a listed prefix and the rest in turn, or the longest tokens; all as displayed."""
-    out: list[str] = []
-    while True:
-        cv = script.decompose_py(word)
-        ending = next(((s, c) for s, c in suffixes if cv.endswith(c) and len(c) < len(cv)), None)
-        if ending:
-            return [*out, script.recompose_py(cv[: len(cv) - len(ending[1])]), ending[0]]
-        if word in words:
-            return [*out, word]
-        for p, c in prefixes:
-            rest = cv[len(c) :]
-            if cv.startswith(c) and rest and (script.recompose_py(rest) in words or len(rest) >= 2):
-                out.append(p)
-                word = script.recompose_py(rest)
-                break
-        else:
-            return [*out, *(script.recompose_py(x) for x in _longest(cv, have, most))]
-
-
-def _parts(w: str, most: int) -> set[str]:
-    return {w[i:j] for i in range(len(w)) for j in range(i + 1, min(i + most, len(w)) + 1)}
-
-
-def asked_morph(w: str, most: int) -> tuple[set[str], set[str]]:
-    """Tokens and stems that split_morph may look for in a word: its parts, of the longest token's length at most."""
-    parts = _parts(w, most)
-    return parts, parts
-
-
-def asked_hybrid(word: str, most: int, prefixes: list[tuple[str, str]]) -> tuple[set[str], set[str]]:
-    """Tokens and words that split_hybrid may look for in a word: parts of its CV form, and the words that are left without listed prefixes."""
-    words, parts, queue = {word}, set(), [word]
-    while queue:
-        cv = script.decompose_py(queue.pop())
-        parts |= _parts(cv, most)
-        rests = {script.recompose_py(cv[len(c) :]) for _, c in prefixes if cv.startswith(c) and len(c) < len(cv)} - words
-        words |= rests
-        queue.extend(rests)
-    return parts, words
-
-
-def _joined_pieces(kind: str, distinct: DataFrame, tokens: DataFrame, known: DataFrame, lists: tuple) -> DataFrame:
-    """word, pieces of distinct words by the same splits as with sets that are broadcast, each with the tokens that it has of the tables (token)."""
-    most = int(tokens.agg(F.max(F.length("token"))).first()[0])
-    longest = max(most, int(known.agg(F.coalesce(F.max(F.length("token")), F.lit(0))).first()[0]))
-
-    @F.pandas_udf("array<struct<known:boolean,token:string>>")
-    def asked(s: pd.Series) -> pd.Series:
-        both = (asked_morph(w, longest) if kind == "morph" else asked_hybrid(w, longest, lists[1]) for w in s)
-        return pd.Series([[(bool(k), x) for k, xs in enumerate(sides) for x in xs] for sides in both])
-
-    split = split_morph if kind == "morph" else split_hybrid
-
-    @F.pandas_udf("array<struct<at:int,piece:string>>")
-    def pieces(words: pd.Series, have: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([_placed(split(w, set(a), set(b), most, *lists)) for w, a, b in zip(words, have, known, strict=True)])
-
-    every = tokens.select("token", F.lit(False).alias("known")).unionByName(known.select("token", F.lit(True).alias("known")))
-    found = distinct.select("word", F.explode(asked("word")).alias("a")).select("word", "a.*").join(every, ["token", "known"], "left_semi")
-    sets = found.groupBy("word").agg(F.expr("collect_list(token) FILTER (WHERE NOT known)").alias("have"), F.expr("collect_list(token) FILTER (WHERE known)").alias("known"))
-    none = F.expr("cast(array() as array<string>)")
-    both = distinct.join(sets, "word", "left").select("word", F.coalesce("have", none).alias("have"), F.coalesce("known", none).alias("known"))
-    return both.select("word", pieces("word", "have", "known").alias("pieces"))
-
-
-def _placed(parts: list[str]) -> list[tuple[int, str]]:
-    at, row = 1, []
-    for p in parts:
-        row.append((at, p))
-        at += len(p)
-    return row
-
-
-def _rule_pieces(model: Model, distinct: DataFrame) -> DataFrame:
-    """word, pieces by the rule-based splits, in an Arrow function over distinct words with the token sets broadcast, or joined if they are too large."""
-    spark, kind = distinct.sparkSession, model.kind
-    role = "stem" if kind == "morph" else "word"
-    known_rows = model.roles.where(F.col("role") == role).select("token").distinct()
+
+def _first(affixes: list[Column], fits) -> Column:
+    """The first of the listed affixes that fits, else null."""
+    return F.coalesce(*(F.when(fits(a), a) for a in affixes))
+
+
+def _listed(affixes: list[str]) -> list[Column]:
+    return [F.lit(script.decompose_py(x)) for x in affixes]
+
+
+def split_morph(words: DataFrame, tokens: DataFrame, suffixes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """word, pieces of distinct CV words by rules; tokens: token; suffixes: token, the learnt and the listed ones.
+
+    A word of more than two characters loses the first listed suffix that leaves two characters or more; else the
+    longest known suffix, of ten characters at most, whose rest is a token; and then the first listed prefix of the
+    stem that leaves two. Without a suffix, a listed prefix goes if the rest is a token; else the longest tokens follow
+    one another. Candidates are looked up by joins, so no table need fit one machine.
+    """
+    by = by or []
+    key = [*by, "word"]
+    n = F.length("word")
+    listed = _first(_listed(script.MORPH_SUFFIXES), lambda s: F.col("word").endswith(s) & (n - F.length(s) >= 2))
+    w = words.select(*key, F.when(n > 2, listed).alias("suffix"))
+    tokens, suffixes = tokens.select(*by, "token"), suffixes.select(*by, "token")
+
+    open_ = w.where(F.col("suffix").isNull() & (n > 2)).select(*key)
+    ends = open_.select(*key, F.explode(F.sequence(F.lit(1), F.least(n - 2, F.lit(10)))).alias("n"))
+    ends = ends.select(*key, "n", F.expr("right(word, n)").alias("token")).join(suffixes, [*by, "token"], "left_semi")
+    ends = ends.select(*key, "n", F.expr("left(word, length(word) - n)").alias("token")).join(tokens, [*by, "token"], "left_semi")
+    known = ends.groupBy(*key).agg(F.max("n").alias("_n"))
+    w = w.join(known, key, "left").withColumn("suffix", F.coalesce("suffix", F.expr("right(word, _n)"))).drop("_n")
+
+    stem = F.expr("left(word, length(word) - length(suffix))")
+    prefix = _first(_listed(script.MORPH_PREFIXES), lambda p: stem.startswith(p) & (F.length(stem) - F.length(p) >= 2))
+    done = w.where(F.col("suffix").isNotNull()).select(*key, "suffix", stem.alias("stem"), prefix.alias("prefix"))
+    done = done.select(*key, F.when(F.col("prefix").isNull(), F.array("stem", "suffix")).otherwise(F.array("prefix", F.expr("substring(stem, length(prefix) + 1)"), "suffix")).alias("pieces"))
+
+    left = w.where(F.col("suffix").isNull()).select(*key)
+    places = F.array(*(F.struct(F.lit(k).alias("k"), p.alias("p")) for k, p in enumerate(_listed(script.MORPH_PREFIXES))))
+    starts = left.select(*key, F.explode(places).alias("x")).where(F.col("word").startswith(F.col("x.p")) & (n - F.length("x.p") >= 2) & (n > 2))
+    starts = starts.select(*key, "x", F.expr("substring(word, length(x.p) + 1)").alias("token")).join(tokens, [*by, "token"], "left_semi")
+    by_prefix = starts.groupBy(*key).agg(F.min("x").alias("x")).select(*key, F.array("x.p", F.expr("substring(word, length(x.p) + 1)")).alias("pieces"))
+    rest = left.join(by_prefix, key, "left_anti")
+    short = rest.where(n <= 2).select(*key, F.array("word").alias("pieces"))
+    greedy = segment(rest.where(n > 2), tokens, "longest", by).select(*key, F.transform("pieces", lambda p: p["piece"]).alias("pieces"))
+    return done.unionByName(by_prefix).unionByName(short).unionByName(greedy)
+
+
+def split_hybrid(words: DataFrame, tokens: DataFrame, corpus: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """word, pieces (as displayed) of distinct words as they are written; tokens: token, in CV form; corpus: word, the corpus's words as they are written.
+
+    A word whose CV form ends with a listed suffix, and is longer, is a stem and that suffix. Else it stays whole if
+    the corpus has it; else a listed prefix goes, if what is left is displayed as two characters or more or is a word
+    of the corpus, and the rest is judged in turn; else the longest tokens follow one another. All rests that prefixes
+    leave are listed first and looked up by one join; the first at which the rule stops is taken.
+    """
+    by = by or []
+    key = [*by, "word"]
+    cv = words.select(*key, script.decompose(F.col("word")).alias("cv"))
+    suffixes = [(x, F.lit(script.decompose_py(x))) for x in script.HYBRID_SUFFIXES]
+    ends = F.coalesce(*(F.when(F.col("cv").endswith(c) & (F.length("cv") > F.length(c)), F.struct(F.lit(x).alias("shown"), c.alias("cv"))) for x, c in suffixes))
+    w = cv.withColumn("suffix", ends)
+    stem = script.recompose(F.expr("left(cv, length(cv) - length(suffix.cv))"))
+    done = w.where(F.col("suffix").isNotNull()).select(*key, F.array(stem, "suffix.shown").alias("pieces"))
+
+    # The rests: at each level one listed prefix can stand, as none begins another.
+    prefixes = {script.decompose_py(x): x for x in script.HYBRID_PREFIXES}
+    run = F.regexp_extract("cv", f"^((?:{'|'.join(prefixes)})*)", 1)
+    gone = F.regexp_extract_all(run, F.lit(f"({'|'.join(prefixes)})"), F.lit(1))
+    ahead = F.expr("transform(sequence(0, size(gone)), k -> named_struct('k', k, 'rest', substring(cv, 1 + aggregate(slice(gone, 1, k), 0, (a, p) -> a + length(p)))))")
+    levels = w.where(F.col("suffix").isNull()).select(*key, "cv", gone.alias("gone")).select(*key, "gone", F.explode(ahead).alias("x"))
+    levels = levels.select(*key, "gone", "x.k", "x.rest", F.when(F.col("x.k") == 0, F.col("word")).otherwise(script.recompose(F.col("x.rest"))).alias("shown"))
+    seen = corpus.select(*by, F.col("word").alias("shown"), F.lit(True).alias("seen"))
+    levels = levels.join(seen, [*by, "shown"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    chain = levels.groupBy(*key).agg(F.first("gone").alias("gone"), F.array_sort(F.collect_list(F.struct("k", "rest", "shown", "seen"))).alias("levels"))
+    stops = F.expr("filter(levels, (x, i) -> x.seen OR i = size(levels) - 1 OR get(levels, i + 1).rest = '' OR NOT (get(levels, i + 1).seen OR length(get(levels, i + 1).shown) >= 2))[0]")
+    chain = chain.withColumn("stop", stops)
+    shown = F.transform(F.expr("slice(gone, 1, stop.k)"), lambda p: F.element_at(F.create_map(*(F.lit(x) for kv in prefixes.items() for x in kv)), p))
+    chain = chain.select(*key, shown.alias("before"), "stop")
+    cut = segment(chain.where(~F.col("stop.seen")).select(*by, F.col("stop.rest").alias("word")).distinct(), tokens.select(*by, "token"), "longest", by)
+    cut = cut.select(*by, F.col("word").alias("_rest"), F.transform("pieces", lambda p: script.recompose(p["piece"])).alias("after"))
+    at = [F.col(c) == F.col(f"_{c}") for c in by]
+    both = chain.join(cut.select(*(F.col(c).alias(f"_{c}") for c in by), "_rest", "after"), [*at, F.col("stop.rest") == F.col("_rest")], "left")
+    whole = both.select(*key, F.concat("before", F.when(F.col("stop.seen"), F.array("stop.shown")).otherwise(F.coalesce("after", F.expr(_NO_PIECES)))).alias("pieces"))
+    return done.unionByName(whole)
+
+
+def rule_pieces(kind: str, distinct: DataFrame, tokens: DataFrame, roles: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """word, pieces of distinct units by the model's rules; separators stay as they are. roles: token, role (not needed by gms and cv)."""
+    sep = F.col("word").rlike(_SEPARATOR[kind])
+    key = [*(by or []), "word"]
+    separators = distinct.where(sep).select(*key, F.array("word").alias("pieces"))
+    words = distinct.where(~sep)
     if kind == "morph":
-        lists = [script.decompose_py(x) for x in script.MORPH_SUFFIXES], [script.decompose_py(x) for x in script.MORPH_PREFIXES]
-    else:
-        lists = [(x, script.decompose_py(x)) for x in script.HYBRID_SUFFIXES], [(x, script.decompose_py(x)) for x in script.HYBRID_PREFIXES]
-    separator = script.SEPARATED.split("|")[0][1:]
-    is_sep = F.col("word").rlike(f"^[{script.WS}]$" if kind == "morph" else f"^{separator}$")
-    whole = F.expr("array(named_struct('at', 1, 'piece', word))")
-    separators = distinct.where(is_sep).select("word", whole.alias("pieces"))
-    if model.vocab.count() > MOST_BROADCAST:
-        if kind == "hybrid":
-            known_rows = known_rows.select(script.recompose(F.col("token")).alias("token")).distinct()
-        return separators.unionByName(_joined_pieces(kind, distinct.where(~is_sep), model.all_tokens().select("token"), known_rows, lists))
-    have = {r.token for r in model.all_tokens().select("token").toLocalIterator()}
-    known = {r.token for r in known_rows.toLocalIterator()}
-    if kind == "hybrid":
-        known = {script.recompose_py(x) for x in known}
-    state = spark.sparkContext.broadcast((have, known, max(map(len, have)), *lists))
-    split = split_morph if kind == "morph" else split_hybrid
-
-    @F.pandas_udf("array<struct<at:int,piece:string>>")
-    def pieces(s: pd.Series) -> pd.Series:
-        return pd.Series([_placed(split(w, *state.value)) for w in s])
-
-    return separators.unionByName(distinct.where(~is_sep).select("word", pieces("word").alias("pieces")))
-
-
-def unit_pieces(model: Model, distinct: DataFrame) -> DataFrame:
-    """unit, pieces (at, piece, token, base_id) of distinct units; base_id 0 is unknown."""
-    if model.kind in ("gms", "cv"):
-        longest = model.all_tokens().agg(F.max(F.length("token"))).first()[0]
-        cut = segment(distinct, model.all_tokens(), "longest", int(longest))
+        return separators.unionByName(split_morph(words, tokens, morph_suffixes(roles), by))
+    known = roles.where("role = 'word'").select(*(by or []), F.col("token").alias("word")).distinct()
+    return separators.unionByName(split_hybrid(words, tokens, known, by))
+
+
+def unit_pieces(kind: str, distinct: DataFrame, tokens: DataFrame, roles: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """unit, pieces of distinct units (unit, as written). A piece: at (its place in the unit), n (its length), base_id (null: unknown), shown, text.
+
+    Places and lengths of gms are those of the text, of cv those of its CV form; morph and hybrid have displayed lengths.
+    """
+    by = by or []
+    if kind in ("cv", "morph"):
+        named = distinct.select(*by, "unit", script.decompose(F.col("unit")).alias("word"))
     else:
-        cut = _rule_pieces(model, distinct)
-    one = cut.select("word", F.posexplode("pieces").alias("k", "p")).select("word", "k", "p.*")
-    key = script.decompose(F.col("piece")) if model.kind == "hybrid" else F.col("piece")
-    if model.kind == "hybrid":  # a separator is looked up as it is
-        key = F.when(F.col("word").rlike(f"^{script.SEPARATED.split('|')[0][1:]}$"), F.col("piece")).otherwise(key)
-    named = one.withColumn("token", key).join(model.all_tokens(), "token", "left").withColumn("base_id", F.coalesce("base_id", F.lit(0)))
-    return named.groupBy(F.col("word").alias("unit")).agg(F.array_sort(F.collect_list(F.struct("k", "at", "piece", "base_id"))).alias("pieces"))
+        named = distinct.select(*by, "unit", F.col("unit").alias("word"))
+    words = named.select(*by, "word").distinct()
+    if kind in ("gms", "cv"):
+
+
+        def described(p: Column) -> Column:
+            shown = script.recompose(p["piece"]) if kind == "cv" else p["piece"]
+            text = F.when(p["base_id"] > 0, shown).otherwise(p["piece"])
+            return F.struct(p["at"].cast("long").alias("at"), F.length(p["piece"]).alias("n"), p["base_id"].alias("base_id"), shown.alias("shown"), text.alias("text"))
 
+        put = segment(words, tokens, "longest", by).select(*by, "word", F.transform("pieces", described).alias("pieces"))
+        return named.join(put, [*by, "word"]).select(*by, "unit", "pieces")
+    cut = rule_pieces(kind, words, tokens, roles, by)
+    # Each piece is looked up by itself; it goes with its word's digest, as words may be long.
+    code = F.unhex(F.md5("word")).alias("_w")
+    sep = F.col("word").rlike(_SEPARATOR[kind])
+    one = cut.select(*by, code, sep.alias("_sep"), F.posexplode("pieces").alias("k", "piece"))
+    token = F.col("piece") if kind == "morph" else F.when(F.col("_sep"), F.col("piece")).otherwise(script.decompose(F.col("piece")))
+    one = one.withColumn("token", token).join(tokens, [*by, "token"], "left")
+    shown = script.recompose(F.col("piece")) if kind == "morph" else F.col("piece")
+    one = one.select(*by, "_w", "k", "base_id", shown.alias("shown"))
+    before = Window.partitionBy(*by, "_w").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = one.select(*by, "_w", "k", F.coalesce(F.sum(F.length("shown")).over(before), F.lit(0)).alias("at"), F.length("shown").alias("n"), "base_id", "shown", F.col("shown").alias("text"))
+    put = pieces.groupBy(*by, "_w").agg(F.array_sort(F.collect_list(F.struct("k", "at", "n", "base_id", "shown", "text"))).alias("pieces"))
+    return named.select(*by, "unit", code).join(put, [*by, "_w"]).select(*by, "unit", "pieces")
 
-def encode(model: Model, docs: DataFrame) -> DataFrame:
+
+def shown_token(kind: str, piece: Column) -> Column:
+    """What a piece's token is called: of gms and cv, unknown pieces are <unk>."""
+    return F.when(piece["base_id"] > 0, piece["shown"]).otherwise(F.lit(script.UNK)) if kind in ("gms", "cv") else piece["shown"]
+
+
+def encode(model: Model, docs: DataFrame, oov_strategy: str = "unk") -> DataFrame:
     """doc_id, pos, id, base_id, token, start, end, text, spaced: the tokens of docs (doc_id, text). Null and empty texts have none.
 
     Positions of gms are those of the text, of cv those of its CV form; morph and hybrid add up displayed lengths.
+    oov_strategy: `unk` or `char`; a character that no token has is an unknown token either way, as its own character
+    was the last thing tried. Distinct units are split once; a document's rows are put in order by one window.
     """
-    u = units(model.kind, docs)
-    p = unit_pieces(model, u.select(F.col("unit").alias("word")).distinct())
-    t = u.join(p, "unit").select("doc_id", "upos", "raw", "unit", "spaced", "raw_start", F.explode("pieces").alias("p"))
-    t = t.select("doc_id", "upos", "spaced", "raw_start", (F.length("raw") - F.length("unit")).alias("ws"), "p.*").withColumn("spaced", F.col("spaced") & (F.col("k") == 0))
-    order = Window.partitionBy("doc_id").orderBy("upos", "k")
-    t = t.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
-    unknown = F.col("base_id") == 0
-    shown = script.recompose(F.col("piece")) if model.kind in ("cv", "morph") else F.col("piece")
-    text = F.when(unknown, F.col("piece")).otherwise(shown) if model.kind == "cv" else shown
-    t = t.withColumn("_text", text).withColumn("_shown", shown)
-    if model.kind in ("gms", "cv"):
-        start = F.when(F.col("k") == 0, F.col("raw_start")).otherwise(F.col("raw_start") + F.col("ws") + F.col("at") - 1)
-        end = F.col("raw_start") + F.col("ws") + F.col("at") - 1 + F.length("piece")
-        token = F.when(unknown, F.lit(script.UNK)).otherwise(F.col("_shown"))
-    else:
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        start = F.coalesce(F.sum(F.length("_text")).over(before), F.lit(0))
-        end = start + F.length("_text")
-        token = F.col("_shown")
-    ids = F.col("base_id") if model.kind == "hybrid" else script.composite_id(F.col("base_id"), F.col("spaced"), F.col("n_ids"))
+    if oov_strategy not in ("unk", "char"):
+        raise ValueError(oov_strategy)
+    kind = model.kind
+    u = units(kind, docs)
+    p = unit_pieces(kind, u.select("unit").distinct(), model.all_tokens(), model.roles)
+    width = F.expr("aggregate(pieces, 0, (a, x) -> a + x.n)")
+    t = u.join(p.select("unit", "pieces", width.alias("width")), "unit")
+    before = Window.partitionBy("doc_id").orderBy("upos").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.select("doc_id", "ws", "pieces", F.coalesce(F.sum(F.col("ws") + F.col("width")).over(before), F.lit(0)).alias("begin"), F.coalesce(F.sum(F.size("pieces")).over(before), F.lit(0)).alias("first"))
+    t = t.select("doc_id", "ws", "begin", "first", F.posexplode("pieces").alias("k", "p"))
+    base = F.coalesce("p.base_id", F.lit(0).cast("long"))
+    spaced = (F.col("ws") > 0) & (F.col("k") == 0)
+    inside = F.col("begin") + F.col("ws") + F.col("p.at")
+    ids = base if kind == "hybrid" else script.composite_id(base, spaced, F.col("n_ids"))
     out = t.crossJoin(F.broadcast(model.n_ids()))  # one row: the number of ids
     return out.select(
-        "doc_id", "pos", ids.alias("id"), "base_id", token.alias("token"), start.cast("long").alias("start"), end.cast("long").alias("end"),
-        F.concat(F.when(F.col("spaced"), F.lit(" ")).otherwise(F.lit("")), F.col("_text")).alias("text"), "spaced",
+        "doc_id", (F.col("first") + F.col("k")).cast("long").alias("pos"), ids.alias("id"), base.alias("base_id"), shown_token(kind, F.col("p")).alias("token"),
+        F.when(F.col("k") == 0, F.col("begin")).otherwise(inside).cast("long").alias("start"), (inside + F.col("p.n")).cast("long").alias("end"),
+        F.concat(F.when(spaced, F.lit(" ")).otherwise(F.lit("")), "p.text").alias("text"), spaced.alias("spaced"),
     )
 
 
+def tokenize(model: Model, docs: DataFrame) -> DataFrame:
+    """doc_id, ids, spans, token_count, decomposed_text (of models in CV form, else null) of every text: what a service would answer, a row a request."""
+    span = F.struct("pos", "id", "token", "start", "end", "text")
+    own = encode(model, docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    cv = F.lit(None).cast("string") if model.kind == "gms" else script.decompose(F.col("text"))
+    out = docs.select("doc_id", cv.alias("decomposed_text")).join(own, "doc_id", "left")
+    return out.select("doc_id", F.coalesce(F.transform("spans", lambda s: s["id"]), F.expr("cast(array() as array<long>)")).alias("ids"), "spans", F.coalesce(F.size("spans"), F.lit(0)).alias("token_count"), "decomposed_text")
+
+
 def decode_spans(tokens: DataFrame) -> DataFrame:
     """doc_id, text: the tokens' texts in order."""
-    return _joined(tokens.select("doc_id", "pos", F.col("text").alias("piece")), lambda parts: F.array_join(parts, ""))
+    return _joined(tokens.select("doc_id", "pos", F.col("text").alias("piece")))
 
 
-def _joined(pieces: DataFrame, finish) -> DataFrame:
+def _joined(pieces: DataFrame) -> DataFrame:
     parts = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("parts"))
-    return parts.select("doc_id", finish(F.transform("parts", lambda p: p["piece"])).alias("text"))
+    return parts.select("doc_id", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("text"))
 
 
-def merge_morph(parts):
-    """A part that starts with ኦ is fused with one before it of two characters or more that ends with እ, which goes."""
-    mark = "\ue000"
-    joined = F.regexp_replace(F.array_join(parts, mark), f"(?<=[^{mark}])እ{mark}(?=ኦ)", "")
-    return F.regexp_replace(joined, mark, "")
+def merge_morph(parts: DataFrame) -> DataFrame:
+    """doc_id, pos, piece: a part of two characters or more that ends with እ loses it before one that starts with ኦ."""
+    after = F.lead("piece").over(Window.partitionBy("doc_id").orderBy("pos"))
+    fuse = (F.length("piece") >= 2) & F.col("piece").endswith("እ") & after.startswith("ኦ")
+    return parts.select("doc_id", "pos", F.when(fuse, F.expr("left(piece, length(piece) - 1)")).otherwise(F.col("piece")).alias("piece"))
 
 
-def merge_hybrid(parts):
-    """Left to right, a part that ends with እ and a next one that starts with a vowel are fused, and what comes of it isn't fused again."""
-    state = F.struct(F.lit("").alias("done"), F.lit("").alias("last"), F.lit(True).alias("closed"))
+def merge_hybrid(parts: DataFrame) -> DataFrame:
+    """doc_id, pos, piece: left to right, a part that ends with እ loses it before one that starts with a vowel, and what the two make isn't fused again.
 
-    def step(s, p):
-        fuse = ~s["closed"] & s["last"].endswith("እ") & p.rlike("^[አኡኢኣእኤኦ]")
-        fused = F.struct(F.concat(s["done"], F.regexp_replace(s["last"], "እ$", ""), p).alias("done"), F.lit("").alias("last"), F.lit(True).alias("closed"))
-        plain = F.struct(F.concat(s["done"], s["last"]).alias("done"), p.alias("last"), F.lit(False).alias("closed"))
-        return F.when(fuse, fused).otherwise(plain)
-
-    return F.aggregate(parts, state, step, lambda s: F.concat(s["done"], s["last"]))
+    So of a run of neighbours that could all be fused, every other pair is.
+    """
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    could = F.coalesce(F.col("piece").endswith("እ") & F.lead("piece").over(order).rlike("^[አኡኢኣእኤኦ]"), F.lit(False))
+    x = parts.select("doc_id", "pos", "piece", could.alias("could"), F.row_number().over(order).alias("nr"))
+    last = F.max(F.when(~F.col("could"), F.col("nr"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("in_run", F.col("nr") - F.coalesce(last, F.lit(0)))  # 1 for the first of a run
+    fuse = F.col("could") & (F.col("in_run") % 2 == 1)
+    return x.select("doc_id", "pos", F.when(fuse, F.expr("left(piece, length(piece) - 1)")).otherwise(F.col("piece")).alias("piece"))
 
 
 def decode_ids(model: Model, tokens: DataFrame, placeholder: str | None = None) -> DataFrame:
@@ -280,14 +270,16 @@ def decode_ids(model: Model, tokens: DataFrame, placeholder: str | None = None)
     base = F.when(composite, F.expr("(id - (n_ids * 2 + 1)) div 2")).otherwise(F.col("id"))
     flag = F.when(composite, F.pmod(F.col("id") - offset, F.lit(2))).otherwise(0)
     t = t.select("doc_id", "pos", base.alias("base_id"), flag.alias("flag")).join(model.all_tokens(), "base_id", "left")
-    piece = F.when((F.col("base_id") == 0) & F.lit(model.kind != "morph"), F.lit(hole)).otherwise(F.col("token"))
+    piece = F.when((F.col("base_id") == 0) & F.lit(model.kind in ("gms", "cv")), F.lit(hole)).otherwise(F.col("token"))
     if model.kind in ("gms", "cv"):
         piece = F.concat(F.when((F.col("flag") == 1) & F.col("token").isNotNull(), F.lit(" ")).otherwise(F.lit("")), F.coalesce(piece, F.lit(hole)))
     pieces = t.select("doc_id", "pos", F.coalesce(piece, F.lit(hole)).alias("piece"))
-    finish = {
-        "gms": lambda p: F.array_join(p, ""),
-        "cv": lambda p: script.recompose(F.array_join(p, "")),
-        "morph": lambda p: script.recompose(merge_morph(p)),
-        "hybrid": lambda p: script.recompose(merge_hybrid(p)),
-    }[model.kind]
-    return _joined(pieces, finish)
+    if model.kind in ("morph", "hybrid"):
+        pieces = (merge_morph if model.kind == "morph" else merge_hybrid)(pieces)
+    out = _joined(pieces)
+    return out if model.kind == "gms" else out.select("doc_id", script.recompose(F.col("text")).alias("text"))
+
+
+def decode(model: Model, requests: DataFrame, placeholder: str | None = None) -> DataFrame:
+    """doc_id, text of requests (doc_id, ids)."""
+    return decode_ids(model, requests.select("doc_id", F.posexplode("ids").alias("pos", "id")), placeholder)

@@ -1,70 +1,192 @@
-"""Greedy segmentation of distinct words against a table of tokens, by joins and array functions."""
+"""Greedy segmentation of distinct words against a table of tokens; all matches of tokens in words; the older split."""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import script
+from ..sources.tables import kept, ship, spread
+
+#: Tokens, and characters of tokens, that are broadcast to the matching function at most; larger tables are joined.
+MOST_TOKENS, MOST_CHARS = 3_000_000, 48_000_000
+#: Lengths up to this are tried one by one; of longer tokens only the lengths that tokens with the same first SHORT characters have.
+SHORT = 8
+PIECES = "array<struct<at:int,piece:string,base_id:long>>"
+
+
+@dataclass
+class Tokens:
+    """Tokens and their ids; for the first SHORT characters of longer ones, their lengths in order."""
+
+    ids: dict[str, int] = field(default_factory=dict)
+    longer: dict[str, list[int]] = field(default_factory=dict)
+
+    def add(self, token: str, base_id: int) -> None:
+        self.ids[token] = base_id
+        if len(token) > SHORT:
+            self.longer.setdefault(token[:SHORT], []).append(len(token))
+
+    def done(self) -> Tokens:
+        self.longer = {k: sorted(set(v)) for k, v in self.longer.items()}
+        return self
+
+    def lengths(self, word: str, at: int) -> Iterator[int]:
+        """Lengths of all tokens that begin at a place, in order."""
+        left = len(word) - at
+        for n in range(1, min(SHORT, left) + 1):
+            if word[at : at + n] in self.ids:
+                yield n
+        for n in self.longer.get(word[at : at + SHORT], ()):
+            if n > left:
+                return
+            if word[at : at + n] in self.ids:
+                yield n
+
+
+def first_run(lengths: Iterable[int]) -> int:
+    """The end of the first unbroken run of lengths, 0 without any."""
+    got = 0
+    for n in lengths:
+        if got and n != got + 1:
+            return got
+        got = n
+    return got
+
 
-_AT_K = "transform(filter(hits, h -> h.i = k), h -> h.l)"
-#: From each place: the end of the first unbroken run of lengths that are tokens, or the longest token.
-CHOICES = {"first_run": f"aggregate(array_sort({_AT_K}), 0, (a, x) -> if(a = 0 or x = a + 1, x, a))", "longest": f"array_max({_AT_K})"}
+def longest(lengths: Iterable[int]) -> int:
+    return max(lengths, default=0)
 
 
-def segment(words: DataFrame, tokens: DataFrame, choice: str, max_len: int | None = None) -> DataFrame:
-    """word, pieces (array of (at, piece), at from 1) of distinct words.
+CHOICES = {"first_run": first_run, "longest": longest}
 
-    All substrings, of max_len at most, are matched with the tokens by a semi join, so neither words nor tokens are
-    ever on the driver or broadcast beyond Spark's own size check; a word's walk from piece to piece is an array
-    function. Where nothing fits, a piece is one character.
+
+def _frame(by: list[str], df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in by), *more])
+
+
+def matches(words: DataFrame, tokens: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """word, at (from 0), token, base_id: every occurrence of every token in the words (word, and the columns `by` that both tables have).
+
+    Joins only: of each place the substrings of up to SHORT characters; and, where longer tokens begin with the same
+    SHORT characters, substrings of their lengths. So a word of n letters gives about SHORT * n short rows, not n * n.
+    """
+    by = by or []
+    key = [*by, "word"]
+    ids = tokens.select(*by, "token", "base_id" if "base_id" in tokens.columns else F.lit(0).cast("long").alias("base_id")).where(F.length("token") > 0)
+    words = words.select(*key, F.unhex(F.md5("word")).alias("_w"))
+    places = words.where(F.length("word") > 0).select(*by, "_w", F.posexplode(F.expr(f"transform(sequence(1, length(word)), i -> substring(word, i, {SHORT}))")).alias("at", "_p"))
+    short = places.select(*by, "_w", "at", F.expr("explode(transform(sequence(1, length(_p)), n -> left(_p, n))) AS token"))
+    found = short.join(ids.where(F.length("token") <= SHORT), [*by, "token"])
+    longer = ids.where(F.length("token") > SHORT).select(*by, F.expr(f"left(token, {SHORT})").alias("_p"), F.length("token").alias("_n")).distinct()
+    asked = places.where(F.length("_p") == SHORT).join(longer, [*by, "_p"]).join(words, [*by, "_w"])
+    asked = asked.where(F.col("at") + F.col("_n") <= F.length("word")).select(*by, "_w", "at", F.expr("substring(word, at + 1, _n)").alias("token"))
+    found = found.unionByName(asked.join(ids, [*by, "token"]).select(found.columns))
+    return found.join(words, [*by, "_w"]).select(*key, "at", "token", "base_id")
+
+
+def segment(words: DataFrame, tokens: DataFrame, choice: str, by: list[str] | None = None) -> DataFrame:
+    """word, pieces (array of at, piece, base_id; at from 0) of distinct words, and the columns `by` that both tables have.
+
+    From place to place a piece's end is chosen among the tokens that begin there (CHOICES); where none does, a piece
+    is one character and its base_id null. Tables of up to MOST_TOKENS tokens are broadcast to an Arrow function over
+    the words; of larger ones, each word gets its own matches by `matches`. Both give the same pieces.
     """
-    longest = f"least(length(word) - i + 1, {max_len})" if max_len else "length(word) - i + 1"
-    places = words.where(F.length("word") > 0).select("word", F.expr("explode(sequence(1, length(word))) AS i"))
-    subs = places.select("word", "i", F.expr(f"explode(sequence(1, {longest})) AS l")).withColumn("token", F.expr("substring(word, i, l)"))
-    hits = subs.join(tokens.select("token"), "token", "left_semi").groupBy("word").agg(F.collect_list(F.struct("i", "l")).alias("hits"))
-    both = words.join(hits, "word", "left").withColumn("hits", F.coalesce("hits", F.expr("cast(array() as array<struct<i:int,l:int>>)")))
-    both = both.withColumn("nx", F.expr(f"transform(sequence(1, greatest(length(word), 1)), k -> greatest(1, coalesce({CHOICES[choice]}, 1)))"))
-    step = "named_struct('at', s.at + element_at(nx, k), 'out', array_append(s.out, named_struct('at', k, 'piece', substring(word, k, element_at(nx, k)))))"
-    walk = f"aggregate(sequence(1, length(word)), named_struct('at', 1, 'out', cast(array() as array<struct<at:int,piece:string>>)), (s, k) -> if(k = s.at, {step}, s), s -> s.out)"
-    return both.where(F.length("word") > 0).select("word", F.expr(walk).alias("pieces"))
+    by = by or []
+    ship(words.sparkSession)
+    words = words.where(F.length("word") > 0)
+    size = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("token")), F.lit(0)).alias("chars")).first()
+    pick = CHOICES[choice]
+
+    def walk(word: str, lengths_at) -> list[tuple[int, int]]:
+        at, out = 0, []
+        while at < len(word):
+            n = pick(lengths_at(at)) or 1
+            out.append((at, n))
+            at += n
+        return out
+
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("piece", pa.string()), ("base_id", pa.int64())]))
+    names = [*by, "word", "pieces"]
+    schema = _frame([*by, "word"], words, f"pieces {PIECES}")
+    if size.n <= MOST_TOKENS and size.chars <= MOST_CHARS:
+        tables: dict[tuple, Tokens] = {}
+        got = tokens.select(*by, "token", "base_id" if "base_id" in tokens.columns else F.lit(0).cast("long").alias("base_id")).toArrow().to_pydict()
+        for *k, token, base_id in zip(*got.values(), strict=True):
+            tables.setdefault(tuple(k), Tokens()).add(token, base_id)
+        shared = words.sparkSession.sparkContext.broadcast({k: t.done() for k, t in tables.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            none = Tokens()
+            for b in batches:
+                out = []
+                for *k, word in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    t = shared.value.get(tuple(k), none)
+                    out.append([(a, p := word[a : a + n], t.ids.get(p)) for a, n in walk(word, lambda at: t.lengths(word, at))])  # noqa: B023
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], names)
+
+        return words.select(*by, "word").mapInArrow(run, schema)
+
+    hits = matches(words, tokens, by).select(*by, "word", "at", F.length("token").alias("n"), "base_id")
+    hits = hits.groupBy(*by, "word").agg(F.array_sort(F.collect_list(F.struct("at", "n", "base_id"))).alias("hits"))
+    both = words.select(*by, "word").join(hits, [*by, "word"], "left")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for word, own in zip(b.column("word").to_pylist(), b.column("hits").to_pylist(), strict=True):
+                at: dict[int, dict[int, int]] = {}
+                for h in own or ():
+                    at.setdefault(h["at"], {})[h["n"]] = h["base_id"]
+                out.append([(a, word[a : a + n], at.get(a, {}).get(n)) for a, n in walk(word, lambda i: at.get(i, ()))])  # noqa: B023
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*by, "word"]), pa.array(out, kind)], names)
+
+    return both.select(*by, "word", "hits").mapInArrow(put, schema)
 
 
 def corpus_words(text: DataFrame, column: str = "text") -> DataFrame:
-    """Distinct words of normalised text."""
-    from ..functions import script
-
-    return text.select(F.explode(script.split_words(script.normalise(F.col(column)))).alias("word")).distinct()
+    """Distinct words of normalised text, kept for those who read them again."""
+    return kept(spread(text.select(column)).select(F.explode(script.split_words(script.normalise(F.col(column)))).alias("word")).distinct())
 
 
-def greedy_pieces(words: DataFrame) -> DataFrame:
+def greedy_pieces(words: DataFrame, by: list[str] | None = None) -> DataFrame:
     """word, pieces of words of two characters or more, cut at other words of the corpus."""
-    return segment(words.where(F.length("word") > 1), words.withColumnRenamed("word", "token"), "first_run")
+    return segment(words.where(F.length("word") > 1), words.withColumnRenamed("word", "token"), "first_run", by)
 
 
-def affixes(words: DataFrame) -> DataFrame:
+def affixes(words: DataFrame, by: list[str] | None = None) -> DataFrame:
     """token, role: every character is a prefix; a word's pieces are stems, prefixes and suffixes by number, place and length."""
-    chars = words.select(F.explode(F.split("word", "")).alias("token")).where("token <> ''").select("token", F.lit("prefix").alias("role"))
-    p = greedy_pieces(words).select(F.size("pieces").alias("n"), F.posexplode("pieces").alias("k", "p"), F.expr("length(pieces[0].piece) AS l0"), F.expr("coalesce(length(try_element_at(pieces, 2).piece), 0) AS l1"))
+    by = by or []
+    chars = words.select(*by, F.explode(F.split("word", "")).alias("token")).where("token <> ''").select(*by, "token", F.lit("prefix").alias("role"))
+    p = greedy_pieces(words, by).select(*by, F.size("pieces").alias("n"), F.posexplode("pieces").alias("k", "p"), F.expr("length(pieces[0].piece) AS l0"), F.expr("coalesce(length(get(pieces, 1).piece), 0) AS l1"))
     role = (
         F.when(F.col("n") == 1, "stem")
         .when(F.col("n") == 2, F.when(F.col("l0") >= F.col("l1"), F.when(F.col("k") == 0, "stem").otherwise("suffix")).otherwise(F.when(F.col("k") == 0, "prefix").otherwise("stem")))
         .otherwise(F.when(F.col("k") == 0, "prefix").when(F.col("k") == 1, "stem").otherwise("suffix"))
     )
-    return chars.unionByName(p.select(F.col("p.piece").alias("token"), role.alias("role"))).distinct()
+    return chars.unionByName(p.select(*by, F.col("p.piece").alias("token"), role.alias("role"))).distinct()
+
+
+def _long(words: DataFrame) -> DataFrame:
+    return words.where(F.length("word") > 1)
 
 
 def legacy_stems(words: DataFrame) -> DataFrame:
-    """Words of two characters or more that have no other such word in them: an equi-join on substrings, not a join of all pairs."""
-    long = words.where(F.length("word") > 1)
-    subs = long.select("word", F.expr("explode(sequence(1, length(word) - 1)) AS i")).select("word", "i", F.expr("explode(sequence(2, greatest(2, length(word) - i + 1))) AS l"))
-    subs = subs.where((F.col("l") < F.length("word")) & (F.col("i") + F.col("l") - 1 <= F.length("word"))).select("word", F.expr("substring(word, i, l) AS token"))
-    covered = subs.join(long.withColumnRenamed("word", "token"), "token", "left_semi").select("word").distinct()
+    """Words of two characters or more that have no other such word in them."""
+    long = _long(words)
+    covered = matches(long, long.withColumnRenamed("word", "token")).where(F.col("token") != F.col("word")).select("word").distinct()
     return long.join(covered, "word", "left_anti")
 
 
 def fold_affixes(known: set[str], texts: list[str]) -> set[str]:
     """Adds texts in order: a text that isn't known is cut at its longest (then leftmost) known part and the rests are added in turn; without such a part it becomes known."""
-    from collections import deque
-
     for text in texts:
         queue = deque([text])
         while queue:
@@ -82,19 +204,25 @@ def fold_affixes(known: set[str], texts: list[str]) -> set[str]:
 
 def legacy_affixes(words: DataFrame) -> DataFrame:
     """token, role (prefix or suffix) of the older split. Its fold depends on the order of all rests, so the distinct rests are folded in one ordered group per role; they grow with the vocabulary, not with the text."""
-    stems = legacy_stems(words).withColumnRenamed("word", "stem")
-    long = words.where(F.length("word") > 1)
-    subs = long.select("word", F.expr("explode(sequence(1, length(word))) AS i")).select("word", "i", F.expr("explode(sequence(1, length(word) - i + 1)) AS l")).select("word", F.expr("substring(word, i, l) AS stem"))
-    pairs = subs.where(F.col("stem") != F.col("word")).join(stems, "stem").distinct()
-    rests = pairs.select("stem", "word", F.explode(F.array(F.struct(F.lit("prefix").alias("role"), F.expr("left(word, locate(stem, word) - 1)").alias("text")), F.struct(F.lit("suffix").alias("role"), F.expr("substring(word, locate(stem, word) + length(stem))").alias("text")))).alias("r"))
+    stems = kept(legacy_stems(words))
+    pairs = matches(_long(words), stems.withColumnRenamed("word", "token")).where(F.col("token") != F.col("word")).groupBy("word", F.col("token").alias("stem")).agg(F.min("at").alias("at"))
+    rests = pairs.select("stem", "word", F.explode(F.array(F.struct(F.lit("prefix").alias("role"), F.expr("left(word, at)").alias("text")), F.struct(F.lit("suffix").alias("role"), F.expr("substring(word, at + length(stem) + 1)").alias("text")))).alias("r"))
     rests = rests.select(F.length("stem").alias("a"), "stem", F.length("word").alias("b"), "word", "r.role", "r.text").where("text <> ''")
     single = words.where(F.length("word") == 1).select(F.lit(0).alias("a"), F.col("word").alias("stem"), F.lit(0).alias("b"), "word", F.lit("prefix").alias("role"), F.col("word").alias("text"))
     first = rests.unionByName(single).groupBy("role", "text").agg(F.min(F.struct("a", "stem", "b", "word")).alias("o"))
+    ordered = first.select("role", "text", F.row_number().over(Window.partitionBy("role").orderBy("o")).alias("nr"))
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"token": sorted(fold_affixes(set(), g.sort_values("nr")["text"].tolist()))}).assign(role=g["role"].iloc[0])
+
+    return ordered.groupBy("role").applyInPandas(fold, "token string, role string")
+
 
-    def fold(g):
-        import pandas as pd
+def legacy_split(words: DataFrame) -> DataFrame:
+    """token, role of the older split: stems, prefixes and suffixes."""
+    return legacy_stems(words).select(F.col("word").alias("token"), F.lit("stem").alias("role")).unionByName(legacy_affixes(words))
 
-        g = g.assign(key=[tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in g["o"]]).sort_values("key", kind="stable")
-        return pd.DataFrame({"token": sorted(fold_affixes(set(), g["text"].tolist()))}).assign(role=g["role"].iloc[0])
 
-    return first.groupBy("role").applyInPandas(fold, "token string, role string")
+def find_all(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """word, token, start, end (from 0, end excluded) of every occurrence of every pattern (token) in the distinct texts (word)."""
+    return matches(texts, patterns).select("word", "token", F.col("at").cast("long").alias("start"), (F.col("at") + F.length("token")).cast("long").alias("end"))

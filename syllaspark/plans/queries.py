@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from ..operators import metrics as M
 from ..operators import segment as G
 from ..operators import vocab as V
 from ..sources.corpus import ethiopicised
+from ..sources.tables import kept, spread
 
 STEPS = [1_000, 5_000, 10_000, 25_000, 50_000, 75_000, 100_000, 125_000, 150_000, 175_000, 200_000, 225_000, 250_000]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +26,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def docs_of(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    return ethiopicised(spark.read.parquet(f"{sf}/{name}.parquet").select(F.col(key).alias("doc_id"), "text"))
+    return ethiopicised(spread(spark.read.parquet(f"{sf}/{name}.parquet").select(F.col(key).alias("doc_id"), "text")))
 
 
 def md5(parts, by: str = ","):
@@ -53,7 +54,7 @@ def normalize_text(spark, sf):
 
 @query
 def normalize_raw(spark, sf):
-    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    raw = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     return raw.select("doc_id", F.regexp_replace(S.normalise(F.col("text")), f"[{S.WS}]+", " ").alias("text"))
 
 
@@ -156,10 +157,7 @@ def vocab_multi(spark, sf):
 
 
 def _model(spark, sf, kind):
-    """A model of the documents, its tables cached as they are read several times."""
-    m = E.fit(kind, docs_of(spark, sf))
-    roles = m.roles.cache() if m.roles is not None else None
-    return E.Model(kind, V.vocabulary(kind, roles).cache(), roles)
+    return E.fit(kind, docs_of(spark, sf))
 
 
 def _encoded(spark, sf, kind):
@@ -175,8 +173,7 @@ for _kind in V.MODELS:
 def _split(spark, sf, kind):
     m = _model(spark, sf, kind)
     words = V.words_for("cv" if kind == "morph" else "gms", docs_of(spark, sf))
-    p = E._rule_pieces(m, words)
-    return p.select("word", F.array_join(F.transform("pieces", lambda x: x["piece"]), "|").alias("pieces"))
+    return E.rule_pieces(kind, words, m.all_tokens(), m.roles).select("word", F.array_join("pieces", "|").alias("pieces"))
 
 
 @query
@@ -192,7 +189,7 @@ def split_hybrid(spark, sf):
 @query
 def composite_ids(spark, sf):
     """Each id of the raw-script vocabulary, with and without a space, and what it is taken apart into."""
-    v = V.train("gms", docs_of(spark, sf)).cache()
+    v = kept(V.train("gms", docs_of(spark, sf)))
     n = v.agg((F.count(F.lit(1)) + 2).alias("n_ids"))
     x = v.crossJoin(F.broadcast(n)).select("token", "base_id", "n_ids", F.explode(F.array(F.lit(False), F.lit(True))).alias("spaced"))
     x = x.withColumn("id", S.composite_id(F.col("base_id"), F.col("spaced"), F.col("n_ids")))
@@ -206,7 +203,7 @@ def decode_spans(spark, sf):
 
 @query
 def unigram_ppl(spark, sf):
-    t = _encoded(spark, sf, "gms")[1].select("doc_id", "token").cache()
+    t = kept(_encoded(spark, sf, "gms")[1].select("doc_id", "token"))
     return M.unigram_ppl(t.where(~M.is_test()), t.where(M.is_test())).select(F.round("ppl", 4).alias("ppl"))
 
 
@@ -251,45 +248,16 @@ def word_budget(spark, sf):
     return M.word_budget(docs_of(spark, sf), STEPS)
 
 
-def _ppl(kind, train, test):
-    """Perplexity of a model of train's documents on test's, 2 decimals; train and test have no document in common."""
-    m = E.fit(kind, train)
-    roles = m.roles.cache()
-    m = E.Model(kind, V.vocabulary(kind, roles).cache(), roles)
-    t = E.encode(m, train.unionByName(test)).select("doc_id", "token").cache()
-    ppl = M.unigram_ppl(t.where(~M.is_test()), t.where(M.is_test())).select(F.round("ppl", 2)).first()[0]
-    for x in (t, m.vocab, roles):
-        x.unpersist()
-    return ppl
+#: The models of the learning curve.
+CURVE = "gms", "cv", "hybrid"
 
 
 @query
 def ppl_curve(spark, sf):
-    """algorithm, step, ppl: the raw-script, CV and hybrid models trained on growing prefixes of the train split, tested on the same test split; null where no document fits the step.
-
-    A step's models are computed before the next step's, so that no plan holds all of them; steps with the same documents share them.
-    """
-    docs = docs_of(spark, sf).cache()
-    train, test = docs.where(~M.is_test()), docs.where(M.is_test())
-    counted = train.select("doc_id", "text", M.n_words(F.col("text")).cast("long").alias("w"))
-    from pyspark.sql.window import Window
-
-    inside = Window.partitionBy(F.expr("doc_id div 1024")).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = counted.groupBy(F.expr("doc_id div 1024").alias("range")).agg(F.sum("w").alias("t"))
-    before = ranges.select("range", F.coalesce(F.sum("t").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    cum = counted.withColumn("c", F.sum("w").over(inside)).withColumn("range", F.expr("doc_id div 1024")).join(before, "range").select("doc_id", "text", (F.col("c") + F.col("b")).alias("c")).where(F.col("c") <= STEPS[-1]).cache()
-    sizes = cum.agg(*(F.count_if(F.col("c") <= step).alias(str(step)) for step in STEPS)).first()
-    kinds = "gms", "cv", "hybrid"
-    points, rows = {0: [None] * len(kinds)}, []
-    with ThreadPoolExecutor(len(kinds)) as pool:
-        for step in STEPS:
-            n, part = sizes[str(step)], cum.where(F.col("c") <= step).select("doc_id", "text")
-            if n not in points:
-                points[n] = list(pool.map(lambda kind: _ppl(kind, part, test), kinds))  # noqa: B023
-            rows += [(kind, step, ppl) for kind, ppl in zip(kinds, points[n], strict=True)]
-    for x in (cum, docs):
-        x.unpersist()
-    return spark.createDataFrame(rows, "algorithm string, step long, ppl double")
+    """algorithm, step, ppl: the raw-script, CV and hybrid models trained on growing prefixes of the train split, tested on the same test split."""
+    docs = kept(docs_of(spark, sf))
+    curves = [M.learning_curve(kind, docs.where(~M.is_test()), docs.where(M.is_test()), STEPS).select(F.lit(kind).alias("algorithm"), "step", "ppl") for kind in CURVE]
+    return reduce(DataFrame.unionByName, curves)
 
 
 @query
@@ -303,11 +271,47 @@ def ppl_curve_pivot(spark, sf):
 def model_catalog(spark, sf):
     docs = docs_of(spark, sf)
     kinds = {"gms": "Direct", "cv": "CV", "morph": "CV", "hybrid": "Direct"}
-    out = None
-    for kind, label in kinds.items():
-        row = V.train(kind, docs).agg(F.lit(kind).alias("name"), F.count(F.lit(1)).alias("vocab_size"), F.lit(label).alias("type"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = (V.train(kind, docs).agg(F.lit(kind).alias("name"), F.count(F.lit(1)).alias("vocab_size"), F.lit(label).alias("type")) for kind, label in kinds.items())
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def vocab_gms_old(spark, sf):
+    return V.train("gms", docs_of(spark, sf), old=True)
+
+
+@query
+def word_mapping(spark, sf):
+    """Each word with its mapping to CV form, as JSON."""
+    return G.corpus_words(docs_of(spark, sf)).select("word", F.to_json(S.word_mapping(F.col("word"))).alias("mapping"))
+
+
+@query
+def find_all(spark, sf):
+    """Every place of every listed suffix and prefix in the words, in CV form."""
+    words = V.words_for("cv", docs_of(spark, sf))
+    return G.find_all(words, V.tokens_frame(spark, sorted({S.decompose_py(x) for x in S.MORPH_SUFFIXES + S.MORPH_PREFIXES})))
+
+
+@query
+def flatten_words(spark, sf):
+    w = M.words_in_order(docs_of(spark, sf))
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), md5(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("words_md5"))
+
+
+@query
+def tokenize_texts(spark, sf):
+    """What a service answers to each text: its ids, number of tokens and CV form, as checksums."""
+    t = E.tokenize(_model(spark, sf, "cv"), docs_of(spark, sf))
+    return t.select("doc_id", F.col("token_count").cast("long").alias("token_count"), md5(F.transform("ids", lambda x: x.cast("string"))).alias("ids_md5"), F.md5(F.col("decomposed_text").cast("binary")).alias("cv_md5"))
+
+
+@query
+def evaluate_models(spark, sf):
+    """A row of quality measures per model, trained and tested on the documents' two parts."""
+    docs = kept(docs_of(spark, sf))
+    train, test = docs.where(~M.is_test()), docs.where(M.is_test())
+    return reduce(DataFrame.unionByName, (M.evaluate(kind, E.fit(kind, train), train, test) for kind in CURVE))
 
 
 @query

@@ -86,22 +86,103 @@ def test_morph(spark):
     assert e[0] == [("በ", 677), ("ሰ", 873), ("ው", 653)] and [x for x, _ in f[0]] == ["ሰ", "ው"] and g[0] == [("መጽሐፍ", 713)]
 
 
-@pytest.mark.parametrize("kind", ["morph", "hybrid"])
-def test_rule_splits_beyond_the_broadcast(spark, monkeypatch, kind):
-    texts = ["ሰው ሰዎች ልጅ ልጆች መጽሐፍ መጻሕፍት", "በሰው የሰው ለሰው ከሰው ይጫወታሉ በልጅ የልጆች"]
-    m = E.fit(kind, frame(spark, *texts))
-    docs = frame(spark, *texts, "ከይጫወታሉ ለልጆች የበልጅ። x ሑኣ ከከሰዎች\tየሕኡኣኦች  ኣኣኣኣ", "", None)
-    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
-    want = E.encode(m, docs)
-    want = rows(want), rows(E.decode_ids(m, want))
-    monkeypatch.setattr(E, "MOST_BROADCAST", 10)
-    got = E.encode(m, docs)
-    assert (rows(got), rows(E.decode_ids(m, got))) == want
+@pytest.mark.parametrize("kind", V.MODELS)
+def test_large_vocabularies_are_joined(spark, monkeypatch, kind):
+    texts = ["ሰው ሰዎች ልጅ ልጆች መጽሐፍ መጻሕፍት", "በሰው የሰው ለሰው ከሰው ይጫወታሉ በልጅ የልጆች", "ሀለሐመሠረሰሸቀበቨ ሀለሐመሠረሰሸቀበ ሀለሐመሠረሰሸ ቀበቨሀለሐመሠረሰሸቀ"]
+    docs = frame(spark, *texts, "ከይጫወታሉ ለልጆች የበልጅ። x ሑኣ ከከሰዎች\tየሕኡኣኦች  ኣኣኣኣ ሀለሐመሠረሰሸቀበቨተ ለሀለሐመሠረሰሸቀበ", "", None)
+
+    def run():
+        m = E.fit(kind, docs)
+        x = E.encode(m, docs)
+        out = sorted(map(tuple, m.vocab.collect())), sorted(map(tuple, x.collect())), sorted(map(tuple, E.decode_ids(m, x).collect()))
+        spark.catalog.clearCache()
+        return out
+
+    want = run()
+    monkeypatch.setattr(G, "MOST_TOKENS", 0)
+    assert run() == want
+
+
+def plain_split_morph(w, tokens, suffixes):
+    """The rules read off SURVEY §2.4, one word at a time."""
+    if len(w) <= 2:
+        return [w]
+    cut = next((len(s) for s in map(S.decompose_py, S.MORPH_SUFFIXES) if w.endswith(s) and len(w) - len(s) >= 2), None)
+    cut = cut or next((n for n in range(min(len(w) - 2, 10), 0, -1) if w[-n:] in suffixes and w[:-n] in tokens), None)
+    listed = [S.decompose_py(x) for x in S.MORPH_PREFIXES]
+    if cut:
+        stem, suffix = w[:-cut], w[-cut:]
+        p = next((p for p in listed if stem.startswith(p) and len(stem) - len(p) >= 2), "")
+        return [x for x in (p, stem[len(p) :], suffix) if x]
+    for p in listed:
+        if w.startswith(p) and len(w) - len(p) >= 2 and w[len(p) :] in tokens:
+            return [p, w[len(p) :]]
+    return plain_longest(w, tokens)
+
+
+def plain_split_hybrid(word, tokens, corpus):
+    cv = S.decompose_py(word)
+    for s in S.HYBRID_SUFFIXES:
+        c = S.decompose_py(s)
+        if cv.endswith(c) and len(cv) > len(c):
+            return [S.recompose_py(cv[: -len(c)]), s]
+    if word in corpus:
+        return [word]
+    for p in S.HYBRID_PREFIXES:
+        c = S.decompose_py(p)
+        if cv.startswith(c) and len(cv) > len(c):
+            stem = S.recompose_py(cv[len(c) :])
+            if stem in corpus or len(stem) >= 2:
+                return [p, *plain_split_hybrid(stem, tokens, corpus)]
+    return [S.recompose_py(x) for x in plain_longest(cv, tokens)]
+
+
+def plain_longest(w, tokens):
+    out = []
+    while w:
+        n = next((n for n in range(len(w), 0, -1) if w[:n] in tokens), 1)
+        out.append(w[:n])
+        w = w[n:]
+    return out
+
+
+def test_rule_splits_against_plain_ones(spark):
+    import random
+
+    r = random.Random(5)
+    parts = ["የ", "ለ", "በ", "ስለ", "እንደ", "ልጅ", "ሰው", "ቱኣ", "ሀቱኣ", "ሰላም", "ኦች", "ዎች", "ን", "ጕ", "x", "ቤት", "ው", "ል", "አ"]
+    words = sorted({"".join(r.choices(parts, k=r.randint(1, 5))) for _ in range(900)} | {"የል", "ሀቱኣ", "ስአልኣምአ", "የየየ", "በ", "ለን"})
+    corpus = set(r.sample(words, 200)) | {"ሀቱኣ"}
+    docs = frame(spark, " ".join(sorted(corpus)))
+    frame_of = lambda xs: spark.createDataFrame([(x,) for x in sorted(xs)], "word string")
+    for kind in ("morph", "hybrid"):
+        m = E.fit(kind, docs)
+        tokens = {x.token for x in m.all_tokens().collect()}
+        if kind == "morph":
+            suffixes = {x.token for x in V.morph_suffixes(m.roles).collect()}
+            own = {S.decompose_py(w) for w in words}
+            want = {w: plain_split_morph(w, tokens, suffixes) for w in own}
+        else:
+            known = {x.token for x in m.roles.collect() if x.role == "word"}
+            own, want = words, {w: plain_split_hybrid(w, tokens, known) for w in words}
+        got = {x.word: x.pieces for x in E.rule_pieces(kind, frame_of(own), m.all_tokens(), m.roles).collect()}
+        assert got == want
+    assert want["ሀቱኣ"] == ["ሀቱኣ"] and want["የል"] != ["የ", "ል", "እ"]
+
+
+def test_long_words_and_foreign_runs(spark):
+    long = ["ሀለ" * 10_000, "ሀ" * 3_000 + "ለ", "መ" + "ሀለ" * 1_500]
+    docs = frame(spark, " ".join([*long, "ሀለ", "é" * 100_000 + " ሰላም"]))
+    m = E.fit("gms", docs)
+    t = E.encode(m, docs)
+    assert E.decode_ids(m, t).count() == 1 and m.vocab.where("token = 'ሰላም'").count() == 1
+    assert {w.word for w in G.corpus_words(docs).collect()} == {*long, "ሀለ", "ሰላም"}
 
 
 def test_merges(spark):
     def run(f, parts):
-        return spark.createDataFrame([(parts,)], "p array<string>").select(f(F.col("p")).alias("x")).first().x
+        rows = f(spark.createDataFrame([(1, k, p) for k, p in enumerate(parts)], "doc_id int, pos int, piece string")).orderBy("pos").collect()
+        return "".join(x.piece for x in rows)
 
     assert run(E.merge_hybrid, ["ልእ", "ኦችእ", "አ"]) == "ልኦችእአ" and run(E.merge_hybrid, ["ልእ", "ብእ", "ኣ"]) == "ልእብኣ" and run(E.merge_hybrid, []) == ""
     assert run(E.merge_morph, ["ልእጅእ", "ኦችእ", "ኦ"]) == "ልእጅኦችኦ" and run(E.merge_morph, ["እ", "ኦ"]) == "እኦ"
