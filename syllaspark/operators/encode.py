@@ -14,9 +14,9 @@ from .segment import corpus_words, segment
 from .vocab import learnt, morph_suffixes, vocabulary
 
 _UNIT = {
-    # A comma and a space are one token of the raw-script vocabulary; a comma is never part of a longer one.
-    "gms": rf"([{script.WS}]*(?:, |,|[^{script.WS},]+))",
-    "cv": rf"([{script.WS}]*[^{script.WS}]+)",
+    # White space but U+0020 is a newline here. A comma and a space are one token of the raw-script vocabulary; a comma is never part of a longer one.
+    "gms": r"([ \n]*(?:, |,|[^ \n,]+))",
+    "cv": r"([ \n]*[^ \n]+)",
     "morph": rf"([{script.WS}]|[^{script.WS}]+)",
     "hybrid": script.SEPARATED,
 }
@@ -48,8 +48,10 @@ def fit(kind: str, text: DataFrame, old: bool = False) -> Model:
 
 def units(kind: str, docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, upos, unit, ws: the units of each text as they are written, and the white space before each (for morph and hybrid, white space is a unit). more: further columns to keep."""
-    u = docs.select(*more, "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_UNIT[kind]), F.lit(1))).alias("upos", "raw"))
-    unit = F.regexp_replace("raw", f"^[{script.WS}]+", "") if kind in ("gms", "cv") else F.col("raw")
+    spaced = kind in ("gms", "cv")
+    text = script.plain_space(F.col("text"), "\n", but=" ") if spaced else F.col("text")
+    u = docs.select(*more, "doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(_UNIT[kind]), F.lit(1))).alias("upos", "raw"))
+    unit = F.ltrim("raw", F.lit(" \n")) if spaced else F.col("raw")
     return u.select(*more, "doc_id", "upos", unit.alias("unit"), (F.length("raw") - F.length(unit)).alias("ws"))
 
 
@@ -192,6 +194,19 @@ def shown_token(kind: str, piece: Column) -> Column:
     return F.when(piece["base_id"] > 0, piece["shown"]).otherwise(F.lit(script.UNK)) if kind in ("gms", "cv") else piece["shown"]
 
 
+def unit_tokens(kind: str, distinct: DataFrame, tokens: DataFrame, roles: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """unit, shown (what its tokens are called, in order) of distinct units, without ids and places."""
+    by = by or []
+    if kind in ("morph", "hybrid"):
+        word = script.decompose(F.col("unit")) if kind == "morph" else F.col("unit")
+        cut = rule_pieces(kind, distinct.select(*by, word.alias("word")).distinct(), tokens, roles, by)
+        shown = F.transform("pieces", script.recompose) if kind == "morph" else F.col("pieces")
+        own = cut.select(*by, "word", shown.alias("shown"))
+        return own.withColumnRenamed("word", "unit") if kind == "hybrid" else distinct.withColumn("word", word).join(own, [*by, "word"]).select(*by, "unit", "shown")
+    pieces = unit_pieces(kind, distinct, tokens, roles, by)
+    return pieces.select(*by, "unit", F.transform("pieces", lambda p: shown_token(kind, p)).alias("shown"))
+
+
 def encode(model: Model, docs: DataFrame, oov_strategy: str = "unk") -> DataFrame:
     """doc_id, pos, id, base_id, token, start, end, text, spaced: the tokens of docs (doc_id, text). Null and empty texts have none.
 
