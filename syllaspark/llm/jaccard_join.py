@@ -22,15 +22,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, forget, mix, one_of_repeated, parts_for, ragged, ship, shingles, stored, table, texts_of, words_of
+from .common import SPACE, cut, forget, mix, n_partitions, one_of_repeated, parts_for, ragged, ship, shingles, stored, table, texts_of, words_of
 from .components import components
 
 #: Shingles that more sets have than this are ordered last, at most HOT_MOST of them, the most frequent; it is a matter of speed only.
 #: Repeats are counted within stretches of COUNT_ITEMS shingles: a shingle of f sets in b stretches shows about f * f / b of them.
 HOT, HOT_MOST, COUNT_ITEMS = 3, 400_000, 4_000_000
 BLOCK_BYTES, PART_BYTES = 2_000_000, 12_000_000
-#: Sets in one trie at most.
-TRIE_SETS = 512
+#: Sets in one trie at most, and pairs that a task compares, about.
+TRIE_SETS, TASK_PAIRS = 512, 5_000
 #: Ids of texts to be read again that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _I64, _U64, _I32 = np.int64, np.uint64, np.int32
@@ -247,7 +247,8 @@ def _verified(pairs: DataFrame, content: DataFrame, n: int, percent: int, order:
     hubs = dealt.select("a", "chunk").distinct().join(content.withColumnRenamed("sig", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "body")
     members = dealt.join(content.withColumnRenamed("sig", "b"), "b").select("a", "chunk", "b", "body")
     rows = hubs.unionByName(members)
-    rows = rows.repartition(parts_for(rows, 1 << 50), "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    parts = max(n_partitions(pairs.sparkSession), dealt.count() // TASK_PAIRS)
+    rows = rows.repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hub, trie, found = None, None, None, []
@@ -343,9 +344,10 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     placed = least.join(again, least["sig"] == again["node"], "left").select("sig", "_least", F.coalesce("root", "sig").alias("root"))
     low = placed.groupBy("root").agg(F.min("_least").alias("_low"))
     final = placed.join(low, "root").select(F.col("sig").alias("_sig"), "_low")
-    named = described.join(final, described["sig"] == final["_sig"], "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("_low", "doc_id"))
-    return named.select("doc_id", "n_shingles", own.alias("component_id"))
+    # Documents without a set are in no component; a join would send them all to one task.
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_low", "doc_id")).alias("component_id")
+    named = described.where(F.col("sig").isNotNull()).join(final, F.col("sig") == F.col("_sig"), "left").select("doc_id", "n_shingles", own)
+    return named.unionByName(described.where(F.col("sig").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,13 +1,19 @@
 """Substring deduplication by relative Lempel-Ziv parsing against an index of every block of the corpus.
 
-A factor of a document is a longest run of words that is copied from earlier text; only factors of at least WINDOW
+A factor of a document is a run of words that is copied from one place of earlier text; only factors of at least WINDOW
 words count. The index has, for each window of that length of every block (some documents that a task has in hand),
-where it starts. Looking up a document's windows from left to right and joining the places that are found in a row
-is the greedy parse: a factor goes on as long as the next window is found as well. Windows across the boundary of two
-factors are looked up like any others, so what only both factors together cover isn't missed or removed in error.
+where it starts. A document's windows are looked up from left to right; a factor begins at a window that is found and
+goes on, greedily, as long as the next window's source is the next place of the same text. Where it ends, the windows
+across its boundary have been looked up like any others: where one of them is found too, with another source, the next
+factor begins inside this one; where none is, the words between two factors stay.
+
+A window's source is the first place that has its words, so a factor is cut where the sources change, also if a later
+text has all of it: the words that factors cover are the same, and a passage is always traced to its first text.
 
 A window goes to the part of the index that its minimiser names (the least hash of its SEED-word runs), so equal
-windows meet wherever they are. Windows in a row that have the same minimiser travel together.
+windows meet wherever they are. Windows in a row that have the same minimiser travel together, and parts of factors
+from different parts of the index are joined for each document at the end. Windows are equal if the 64 bits of their
+minimiser and 48 bits of their own hash are.
 """
 
 from __future__ import annotations
@@ -50,7 +56,9 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
 
 #: A run of windows with one minimiser: minimiser, document, first window's place, windows; and of each window 48 bits of its hash.
 _RUN = (_U64, _I64, _I32, _I32, _U32, _U16)
-_SPAN = (_I64, _I32, _I32)
+#: Windows in a row that have sources in a row: document, first window's place, windows; the source's document and place.
+_SPAN = (_I64, _I32, _I32, _I64, _I32)
+_FACTOR = np.dtype([("place", _I32), ("windows", _I32), ("source", _I64), ("at", _I32)])
 
 
 def block_runs(ids: np.ndarray, texts: pa.StringArray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
@@ -74,31 +82,37 @@ def block_runs(ids: np.ndarray, texts: pa.StringArray) -> tuple[tuple[np.ndarray
     new[1:] = same[order][1:] != same[order][:-1]
     group = np.cumsum(new) - 1
     firsts = order[new]
-    repeat = (doc[order] != doc[firsts[group]]) | (place[order] != place[firsts[group]])
-    copies, kept = order[repeat], np.sort(firsts)
+    origin = firsts[group]
+    repeat = (doc[order] != doc[origin]) | (place[order] != place[origin])
+    # The hash that named the group is checked on what it was made of.
+    last = start + size - 1
+    repeat &= (key[order] == key[origin]) & (size[order] == size[origin]) & (whole[start[order]] == whole[start[origin]]) & (whole[last[order]] == whole[last[origin]])
+    copies, origin = order[repeat], origin[repeat]
+    stay = np.ones(len(size), bool)
+    stay[order[~new]] = ~((doc[order] == doc[firsts[group]]) & (place[order] == place[firsts[group]]))[~new]
+    stay[copies] = False
+    kept = np.flatnonzero(stay)
     windows = whole[ragged(start[kept], size[kept])]
     runs = key[kept], doc[kept], place[kept], size[kept], (windows >> _U64(32)).astype(_U32), (windows & _U64(0xFFFF)).astype(_U16)
-    return runs, (doc[copies], place[copies], size[copies])
+    return runs, (doc[copies], place[copies], size[copies], doc[origin], place[origin])
 
 
-def _deal(arrays: tuple[np.ndarray, ...], part: np.ndarray, parts: int, size: np.ndarray | None = None) -> dict[int, bytes]:
-    """The arrays, packed for each part; those after the fourth have `size` items an entry."""
+def _deal(arrays: tuple[np.ndarray, ...], part: np.ndarray, size: np.ndarray | None = None) -> dict[int, bytes]:
+    """The arrays, packed for each part that has any; with size, those after the fourth have `size` items an entry."""
     order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
-    flat = [a[order] for a in arrays[:4]]
+    used, begin = np.unique(part[order], return_index=True)
+    ends = np.append(begin, len(order))
+    flat = [a[order] for a in (arrays if size is None else arrays[:4])]
+    ends_of = [ends] * len(flat)
     if size is not None:
-        begin = np.cumsum(size) - size
-        pick = ragged(begin[order], size[order])
-        ends_w = np.concatenate([[0], np.cumsum(size[order])])[ends]
+        pick = ragged((np.cumsum(size) - size)[order], size[order])
         flat += [a[pick] for a in arrays[4:]]
-    out = {}
-    for p in np.flatnonzero(np.diff(ends)).tolist():
-        out[p] = _pack(*(a[ends[p] : ends[p + 1]] if k < 4 else a[ends_w[p] : ends_w[p + 1]] for k, a in enumerate(flat)))
-    return out
+        ends_of += [np.concatenate([[0], np.cumsum(size[order])])[ends]] * len(arrays[4:])
+    return {p: _pack(*(a[e[i] : e[i + 1]] for a, e in zip(flat, ends_of, strict=True))) for i, p in enumerate(used.tolist())}
 
 
-def repeated_windows(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, place) of all windows of some runs whose words also start earlier: in a document with a smaller id, or before in the same one."""
+def repeated_windows(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, place, source document, source place) of all windows of some runs whose words also start earlier: in a document with a smaller id, or before in the same one. The source is the first place."""
     _, kind, many = np.unique(key, return_inverse=True, return_counts=True)
     most = WINDOW - SEED + 1
     looked = (many[kind] > 1) | (size > most)
@@ -110,37 +124,52 @@ def repeated_windows(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size:
     use = np.flatnonzero(looked)
     pick = ragged((np.cumsum(size) - size)[use], size[use])
     owner = np.repeat(use, size[use])
-    own = mix(key[owner]) ^ mix((high[pick].astype(_U64) << _U64(16)) | low[pick])
+    own = (high[pick].astype(_U64) << _U64(16)) | low[pick]
     where = place[owner] + ragged(np.zeros(len(use), np.int64), size[use]).astype(_I32)
     d = doc[owner]
-    order = np.lexsort((where, d, own))
-    own, d, where = own[order], d[order], where[order]
+    # Minimisers by number: in one word with the windows' 48 bits if they are few, else as a key of their own.
+    one = kind[owner].astype(_U64)
+    if len(many) <= 1 << 16:
+        own |= one << _U64(48)
+        one = np.zeros(len(own), _U64)
+        order = np.lexsort((where, d, own))
+    else:
+        order = np.lexsort((where, d, own, one))
+    own, one, d, where = own[order], one[order], d[order], where[order]
     new = np.ones(len(own), bool)
-    new[1:] = own[1:] != own[:-1]
+    new[1:] = (own[1:] != own[:-1]) | (one[1:] != one[:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(own) else order
     later = (d != d[first]) | (where != where[first])
-    return d[later], where[later]
-
-
-def spans_by_doc(doc: np.ndarray, place: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(document, packed spans of its windows), spans that touch joined."""
-    if not len(doc):
-        return
-    order = np.lexsort((place, doc))
-    doc, place, size = doc[order], place[order].astype(_I64), size[order].astype(_I64)
-    number = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
-    base = number << 34  # so that spans of different documents never touch
-    end = np.maximum.accumulate(base + place + size)
-    head = np.flatnonzero(np.concatenate([[True], base[1:] + place[1:] > end[:-1]]))
-    last = np.append(head[1:], len(doc)) - 1
-    pairs = np.column_stack([place[head], end[last] - base[last] - place[head]]).astype(_I32)
-    cuts = np.flatnonzero(np.concatenate([[True], doc[head][1:] != doc[head][:-1]]))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(head)], strict=True):
-        yield int(doc[head[a]]), pairs[a:b].tobytes()
+    return d[later], where[later], d[first][later], where[first][later]
+
+
+def join_factors(doc: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and factors in order, those in a row joined that go on in the same source."""
+    order = np.lexsort((factors["place"], doc))
+    doc, f = doc[order], factors[order]
+    if not len(f):
+        return doc, f
+    again = np.concatenate([[False], (doc[1:] == doc[:-1]) & (f["place"][1:] == f["place"][:-1])])  # rows that repeat an id
+    doc, f = doc[~again], f[~again]
+    goes_on = (doc[1:] == doc[:-1]) & (f["place"][1:] == f["place"][:-1] + f["windows"][:-1]) & (f["source"][1:] == f["source"][:-1]) & (f["at"][1:] == f["at"][:-1] + f["windows"][:-1])
+    head = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    out = f[head].copy()
+    out["windows"] = np.add.reduceat(f["windows"], head)
+    return doc[head], out
+
+
+def factors_by_doc(doc: np.ndarray, place: np.ndarray, size: np.ndarray, source: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(document, its packed factors), as far as a part of the index knows them."""
+    f = np.empty(len(doc), _FACTOR)
+    f["place"], f["windows"], f["source"], f["at"] = place, size, source, at
+    doc, f = join_factors(doc, f)
+    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
+    for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=False):
+        yield int(doc[a]), f[a:b].tobytes()
 
 
 def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_key (the id, -2^63 for null), spans (packed pairs: place of a first window, windows): a few rows per document that has duplicate words."""
+    """doc_key (the id, -2^63 for null), spans (packed factors): a few rows per document that has duplicate words."""
     spark = docs.sparkSession
     ship(spark)
     parts = parts_for(docs, PART_BYTES)
@@ -148,8 +177,8 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, "_text", BLOCK_BYTES):
             runs, copies = block_runs(_ids(b.column(0)), texts_of(b, "_text"))
-            a = _deal(runs, (mix(runs[0]) % _U64(parts)).astype(np.int64), parts, runs[3])
-            c = _deal(copies, (mix(copies[0].astype(_U64)) % _U64(parts)).astype(np.int64), parts)
+            a = _deal(runs, (mix(runs[0]) % _U64(parts)).astype(np.int64), runs[3])
+            c = _deal(copies, (mix(copies[0].astype(_U64)) % _U64(parts)).astype(np.int64))
             both = sorted({*a, *c})
             if both:
                 yield pa.RecordBatch.from_arrays([pa.array(both, pa.int32()), pa.array([a.get(p) for p in both], pa.binary()), pa.array([c.get(p) for p in both], pa.binary())], ["part", "runs", "copies"])
@@ -158,9 +187,9 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         runs = [_unpack(x, _RUN) for x in group.column("runs").to_pylist() if x]
         spans = [_unpack(x, _SPAN) for x in group.column("copies").to_pylist() if x]
         if runs:
-            doc, place = repeated_windows(*(np.concatenate(x) for x in zip(*runs, strict=True)))
-            spans.append([doc, place, np.ones(len(doc), _I32)])
-        rows = list(spans_by_doc(*(np.concatenate(x) for x in zip(*spans, strict=True)))) if spans else []
+            doc, place, source, at = repeated_windows(*(np.concatenate(x) for x in zip(*runs, strict=True)))
+            spans.append([doc, place, np.ones(len(doc), _I32), source, at])
+        rows = list(factors_by_doc(*(np.concatenate(x) for x in zip(*spans, strict=True)))) if spans else []
         return pa.table({"doc_key": pa.array([r[0] for r in rows], pa.int64()), "spans": pa.array([r[1] for r in rows], pa.binary())})
 
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"))
@@ -173,9 +202,9 @@ def kept_words(text: str | None, spans: list[bytes] | None) -> tuple[int, int, b
     if not spans:
         return len(words), 0, b" ".join(words)
     edge = np.zeros(len(words) + 1, np.int64)
-    for pairs in (np.frombuffer(s, _I32).reshape(-1, 2) for s in spans):
-        np.add.at(edge, np.minimum(pairs[:, 0], len(words)), 1)
-        np.add.at(edge, np.minimum(pairs[:, 0].astype(np.int64) + pairs[:, 1] + WINDOW - 1, len(words)), -1)
+    f = np.frombuffer(b"".join(spans), _FACTOR)
+    np.add.at(edge, np.minimum(f["place"], len(words)), 1)
+    np.add.at(edge, np.minimum(f["place"].astype(np.int64) + f["windows"] + WINDOW - 1, len(words)), -1)
     keep = np.cumsum(edge)[:-1] == 0
     return len(words), int(len(words) - keep.sum()), b" ".join(itertools.compress(words, keep.tolist()))
 
@@ -185,8 +214,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text
 
     Removed is each word that a window of WINDOW words covers whose word sequence also starts earlier; windows are
     judged on the input. Ids are integers; a null id comes before all others. Rows that repeat an id and a text are
-    no copies of each other and have the same result; an id should not be given to different texts. Null texts have
-    no words. An empty table gives an empty result.
+    no copies of each other and have the same result; an id should not be given to different texts. Ids that are no
+    integers are an error. Null texts have no words. Other columns are not read and may have any name. An empty table
+    gives an empty result.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     spans = duplicate_spans(docs, doc_id, text).groupBy("doc_key").agg(F.collect_list("spans").alias("_spans"))
@@ -206,6 +236,20 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text
     return both.mapInArrow(finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
+def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_key, start, length, source_key, source_start: the factors of every document, in words; keys are ids, -2^63 for null."""
+    spans = duplicate_spans(docs, doc_id, text).groupBy("doc_key").agg(F.collect_list("spans").alias("_spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(b"".join(x), _FACTOR) for x in b.column(1).to_pylist()]
+            doc, f = join_factors(np.repeat(b.column(0).to_numpy(), [len(x) for x in parts]), np.concatenate([*parts, np.zeros(0, _FACTOR)]))
+            columns = [doc, f["place"].astype(_I64), f["windows"].astype(_I64) + WINDOW - 1, f["source"], f["at"].astype(_I64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_key", "start", "length", "source_key", "source_start"])
+
+    return spans.mapInArrow(run, "doc_key long, start long, length long, source_key long, source_start long")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 

@@ -73,3 +73,18 @@ def test_short_periodic_passages_that_stand_once(spark):
     got = sorted((tuple(r) for r in S.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
     assert got == brute(docs)
     assert S.dedup(spark.createDataFrame([(1, "x " * 25)], "doc_id long, text string")).first().n_removed == 24
+
+
+def test_factors_are_copies_of_earlier_text(spark):
+    docs = [(i, x) for i, x in {i: x for i, x in corpus(5) if i is not None and i >= 0}.items()]
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", x or "") for i, x in docs}
+    got = S.factors(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    covered = {}
+    for f in got:
+        assert f.length >= 20 and (f.source_key, f.source_start) < (f.doc_key, f.start)
+        assert words[f.doc_key][f.start : f.start + f.length] == words[f.source_key][f.source_start : f.source_start + f.length]
+        covered.setdefault(f.doc_key, set()).update(range(f.start, f.start + f.length))
+    assert {i: len(c) for i, c in covered.items()} == {x[0]: x[2] for x in brute(docs) if x[2]}
+    # Greedy: no factor could go on in its source.
+    by = {(f.doc_key, f.start): f for f in got}
+    assert not any((n := by.get((f.doc_key, f.start + f.length - 19))) and (n.source_key, n.source_start) == (f.source_key, f.source_start + f.length - 19) for f in got)
