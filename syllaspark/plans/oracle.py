@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from ..functions import script as S
 
 _KEPT, _WS = S.KEPT, S.WS
@@ -101,6 +103,121 @@ _ENCODED = f"""{_GMS}, every AS MATERIALIZED (SELECT * FROM vocab UNION ALL VALU
     CASE WHEN k = 0 THEN raw_start ELSE raw_start + length(raw) - length(unit) + at_ - 1 END AS start_, raw_start + length(raw) - length(unit) + at_ - 1 + length(piece) AS end_
   FROM (SELECT *, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY upos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS raw_start FROM u) x JOIN seg ON seg.word = x.unit LEFT JOIN every ON every.token = piece
 )"""
+# ---------------------------------------------------------------- the other models: rules as CASE chains and a recursive chain of prefixes
+
+
+def _case(affixes: list[str], when: str, then: str = "{cv}") -> str:
+    """The first listed affix for which `when` holds; {cv}, {x} and {n}: its CV form, the affix and the form's length."""
+    each = ((x, S.decompose_py(x)) for x in affixes)
+    return f"CASE {' '.join(f'WHEN {when} THEN {then}'.format(cv=_lit(c), x=_lit(x), n=len(c)) for x, c in each)} END"
+
+
+def _rows(affixes: list[str]) -> str:
+    return ", ".join(f"({k}, {_lit(x)}, {_lit(S.decompose_py(x))})" for k, x in enumerate(affixes))
+
+
+_CV_VOCAB = f"{_CVW}, {_affixes('cvw', 'roles')}, vocab AS MATERIALIZED ({_ids(f'SELECT token FROM roles UNION SELECT * FROM (VALUES {_values(_CV_FIXED)}) t(token)')})"
+_M_LISTED = ", ".join(f"({_lit(S.decompose_py(x))}, '{role}')" for role, xs in (("suffix", S.MORPH_SUFFIXES), ("prefix", S.MORPH_PREFIXES)) for x in xs)
+_in = lambda xs: ", ".join(map(_lit, xs))
+_M_VOCAB = f"""{_CVW}, {_affixes('cvw', 'roles')}, ranked AS MATERIALIZED (
+  SELECT token, least(min(CASE role WHEN 'suffix' THEN 0 WHEN 'prefix' THEN 1 WHEN 'stem' THEN 2 ELSE 3 END), min(CASE WHEN {_back('token')} IN ({_in(S.MORPH_SUFFIXES)}) THEN 0 WHEN {_back('token')} IN ({_in(S.MORPH_PREFIXES)}) THEN 1 ELSE 3 END)) AS rk
+  FROM (SELECT token, role FROM roles UNION SELECT * FROM (VALUES {_M_LISTED}) l(token, role) UNION SELECT token, 'other' FROM (VALUES {_values(_CV_FIXED + [S.decompose_py(x) for x in S.MORPH_SUFFIXES + S.MORPH_PREFIXES])}) f(token)) GROUP BY token
+), vocab AS MATERIALIZED ({_ids('SELECT * FROM ranked', 'rk')}), sufs AS MATERIALIZED (SELECT token FROM roles WHERE role = 'suffix' UNION SELECT * FROM (VALUES {_values([S.decompose_py(x) for x in S.MORPH_SUFFIXES])}) x(token))"""
+_H_FIXED = _CV_FIXED + [S.decompose_py(x) for x in S.HYBRID_SUFFIXES + S.HYBRID_PREFIXES]
+_H_VOCAB = f"{_CVW}, {_affixes('cvw', 'roles')}, vocab AS MATERIALIZED ({_ids(f'SELECT token FROM roles UNION SELECT word FROM cvw UNION SELECT * FROM (VALUES {_values(_H_FIXED)}) t(token)')})"
+_EVERY = "every AS MATERIALIZED (SELECT * FROM vocab UNION ALL VALUES ('<unk>', 0), ('<pad>', 1))"
+
+
+def _morph_split(words: str) -> str:
+    """sp(word, k, piece) of the CV words."""
+    suffix = _case(S.MORPH_SUFFIXES, "ends_with(word, {cv}) AND length(word) - {n} >= 2")
+    prefix = _case(S.MORPH_PREFIXES, "starts_with(stem, {cv}) AND length(stem) - {n} >= 2")
+    return f"""m0 AS MATERIALIZED (SELECT word, CASE WHEN length(word) > 2 THEN {suffix} END AS suf FROM {words}),
+m1 AS MATERIALIZED (SELECT word, max(n) AS n FROM (SELECT word, unnest(range(1, least(length(word) - 2, 10) + 1)) AS n FROM m0 WHERE suf IS NULL AND length(word) > 2)
+  WHERE right(word, n) IN (SELECT token FROM sufs) AND left(word, length(word) - n) IN (SELECT token FROM every) GROUP BY word),
+m2 AS MATERIALIZED (SELECT m0.word, coalesce(suf, right(m0.word, m1.n)) AS suf FROM m0 LEFT JOIN m1 ON m0.word = m1.word),
+m4 AS MATERIALIZED (SELECT *, {prefix} AS pre FROM (SELECT word, suf, left(word, length(word) - length(suf)) AS stem FROM m2 WHERE suf IS NOT NULL)),
+m5 AS MATERIALIZED (SELECT word, arg_min(p, k) AS p FROM m2, (VALUES {_rows(S.MORPH_PREFIXES)}) x(k, shown, p) WHERE suf IS NULL AND length(word) > 2 AND starts_with(word, p) AND length(word) - length(p) >= 2 AND substr(word, length(p) + 1) IN (SELECT token FROM every) GROUP BY word),
+m6 AS MATERIALIZED (SELECT word FROM m2 WHERE suf IS NULL AND length(word) > 2 AND word NOT IN (SELECT word FROM m5)), {_segments('m6', 'every', False, 'mg')}, sp AS MATERIALIZED (
+  SELECT word, 0 AS k, pre AS piece FROM m4 WHERE pre IS NOT NULL UNION ALL SELECT word, 1, substr(stem, 1 + coalesce(length(pre), 0)) FROM m4 UNION ALL SELECT word, 2, suf FROM m4
+  UNION ALL SELECT word, 0, p FROM m5 UNION ALL SELECT word, 1, substr(word, length(p) + 1) FROM m5 UNION ALL SELECT word, 0, word FROM m2 WHERE length(word) <= 2 UNION ALL SELECT word, k, piece FROM mg)"""
+
+
+def _hybrid_split(words: str) -> str:
+    """sp(word, k, piece) of words as they are written; pieces as displayed."""
+    when = "ends_with(cv, {cv}) AND length(cv) > {n}"
+    rest = "substr(c.cv, length(p.cv) + 1)"
+    return f"""h0 AS MATERIALIZED (SELECT *, {_case(S.HYBRID_SUFFIXES, when, "{x}")} AS suf, {_case(S.HYBRID_SUFFIXES, when, "{n}")} AS n FROM (SELECT word, {_cv('word')} AS cv FROM {words})), hc AS (
+  SELECT word, 0 AS k, cv, word AS shown, '' AS pre FROM h0 WHERE suf IS NULL
+  UNION ALL
+  SELECT c.word, c.k + 1, {rest}, {_back(rest)}, p.shown FROM hc c JOIN (VALUES {_rows(S.HYBRID_PREFIXES)}) p(nr, shown, cv) ON starts_with(c.cv, p.cv) AND length(c.cv) > length(p.cv)
+  WHERE c.shown NOT IN (SELECT word FROM words) AND (length({_back(rest)}) >= 2 OR {_back(rest)} IN (SELECT word FROM words))
+), hl AS MATERIALIZED (SELECT word, max(k) AS k, arg_max(cv, k) AS cv, arg_max(shown, k) AS shown FROM hc GROUP BY word), hr AS MATERIALIZED (SELECT DISTINCT cv AS word FROM hl WHERE shown NOT IN (SELECT word FROM words)),
+{_segments('hr', 'every', False, 'hg')}, sp AS MATERIALIZED (
+  SELECT word, 0 AS k, {_back('left(cv, length(cv) - n)')} AS piece FROM h0 WHERE suf IS NOT NULL UNION ALL SELECT word, 1, suf FROM h0 WHERE suf IS NOT NULL
+  UNION ALL SELECT word, k - 1, pre FROM hc WHERE k > 0
+  UNION ALL SELECT word, k, shown FROM hl WHERE shown IN (SELECT word FROM words)
+  UNION ALL SELECT hl.word, hl.k + hg.k, {_back('piece')} FROM hl JOIN hg ON hg.word = hl.cv WHERE shown NOT IN (SELECT word FROM words))"""
+
+
+def _encoded(kind: str) -> str:
+    """t(doc_id, pos, piece, base_id, token, spaced, start_, end_) of the cv, morph and hybrid models; piece in the model's script."""
+    vocab = {"cv": _CV_VOCAB, "morph": _M_VOCAB, "hybrid": _H_VOCAB}[kind]
+    pattern = {"cv": f"([{_WS}]*[^{_WS}]+)", "morph": f"([{_WS}]|[^{_WS}]+)", "hybrid": f"([{_WS}.,;:!?።፡፤፣]|[^{_WS}.,;:!?።፡፤፣]+)"}[kind]
+    own = "word" if kind == "hybrid" else _cv("word")
+    units = f"""u AS MATERIALIZED (SELECT doc_id, upos, raw, {f"regexp_replace(raw, {_lit(f'^[{_WS}]+')}, '')" if kind == 'cv' else 'raw'} AS unit FROM (SELECT doc_id, unnest(r) AS raw, unnest(range(1, len(r) + 1)) AS upos FROM (SELECT doc_id, regexp_extract_all(text, {_lit(pattern)}, 1) AS r FROM docs))),
+uu AS MATERIALIZED (SELECT unit, {own} AS word FROM (SELECT DISTINCT unit, unit AS word FROM u))"""
+    if kind == "cv":
+        return f"""{vocab}, {_EVERY}, {units}, uw AS MATERIALIZED (SELECT DISTINCT word FROM uu), {_segments('uw', 'every', False, 'seg', '(SELECT max(length(token)) FROM every)')}, named AS MATERIALIZED (SELECT seg.*, coalesce(base_id, 0) AS base_id, {_back('piece')} AS shown FROM seg LEFT JOIN every ON every.token = piece), t AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY upos, k) - 1 AS pos, piece, base_id, CASE WHEN base_id > 0 THEN shown ELSE '<unk>' END AS token, k = 0 AND ws > 0 AS spaced, CASE WHEN k = 0 THEN b ELSE b + ws + at_ - 1 END AS start_, b + ws + at_ - 1 + length(piece) AS end_
+  FROM (SELECT doc_id, upos, ws, word, coalesce(sum(ws + length(word)) OVER (PARTITION BY doc_id ORDER BY upos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT doc_id, upos, length(raw) - length(u.unit) AS ws, word FROM u JOIN uu ON uu.unit = u.unit)) x JOIN named ON named.word = x.word)"""
+    sep = f"[{_WS}]" if kind == "morph" else f"[{_WS}.,;:!?።፡፤፣]"
+    split = (_morph_split if kind == "morph" else _hybrid_split)("uw")
+    token, shown = ("piece", _back("piece")) if kind == "morph" else (f"CASE WHEN sep THEN piece ELSE {_cv('piece')} END", "piece")
+    return f"""{vocab}, {_EVERY}, {units}, uw AS MATERIALIZED (SELECT DISTINCT word FROM uu WHERE NOT regexp_full_match(word, {_lit(sep)})), {split}, named AS MATERIALIZED (
+  SELECT x.*, coalesce(base_id, 0) AS base_id FROM (SELECT word, k, {token} AS piece, {shown} AS shown FROM (SELECT word, k, piece, false AS sep FROM sp UNION ALL SELECT DISTINCT word, 0, word, true FROM uu WHERE regexp_full_match(word, {_lit(sep)}))) x LEFT JOIN every ON every.token = x.piece
+), t AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER w - 1 AS pos, piece, base_id, shown AS token, false AS spaced, coalesce(sum(length(shown)) OVER (PARTITION BY doc_id ORDER BY upos, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_, sum(length(shown)) OVER w AS end_
+  FROM u JOIN uu ON uu.unit = u.unit JOIN named ON named.word = uu.word WINDOW w AS (PARTITION BY doc_id ORDER BY upos, k))"""
+
+
+def _encode_sql(kind: str) -> str:
+    ids = "base_id" if kind == "hybrid" else "(n + 2) * 2 + 1 + base_id * 2 + CAST(spaced AS BIGINT)"
+    return f"""{_encoded(kind)} SELECT doc_id, count(*) AS n_tokens, md5(string_agg(CAST({ids} AS VARCHAR), ',' ORDER BY pos)) AS ids_md5,
+      md5(string_agg(token, ',' ORDER BY pos)) AS tokens_md5, md5(string_agg(CAST(CAST(start_ AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(end_ AS BIGINT) AS VARCHAR), ',' ORDER BY pos)) AS places_md5 FROM t, (SELECT count(*) AS n FROM vocab) GROUP BY doc_id"""
+
+
+def _decode_sql(kind: str) -> str:
+    part = "CASE WHEN base_id > 0 THEN piece ELSE '<unk>' END"
+    if kind == "cv":
+        parts = f"SELECT doc_id, pos, CASE WHEN spaced THEN ' ' ELSE '' END || {part} AS p FROM t"
+    else:
+        p = f"SELECT doc_id, pos, {part} AS p, lead({part}) OVER (PARTITION BY doc_id ORDER BY pos) AS q FROM t"
+        if kind == "morph":
+            fused = f"SELECT *, length(p) >= 2 AND ends_with(p, 'እ') AND starts_with(coalesce(q, ''), 'ኦ') AS f FROM ({p})"
+        else:  # of neighbours in a row that could be fused, every other pair is: islands, numbered within
+            could = f"SELECT *, ends_with(p, 'እ') AND coalesce(left(q, 1) IN ('አ', 'ኡ', 'ኢ', 'ኣ', 'እ', 'ኤ', 'ኦ'), false) AS c FROM ({p})"
+            fused = f"SELECT *, c AND (row_number() OVER (PARTITION BY doc_id, c, island ORDER BY pos)) % 2 = 1 AS f FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, c ORDER BY pos) AS island FROM ({could}))"
+        parts = f"SELECT doc_id, pos, CASE WHEN f THEN left(p, length(p) - 1) ELSE p END AS p FROM ({fused})"
+    return f"{_encoded(kind)} SELECT doc_id, md5(x) AS text_md5, length(x) AS n_chars FROM (SELECT doc_id, {_back('y')} AS x FROM (SELECT doc_id, string_agg(p, '' ORDER BY pos) AS y FROM ({parts}) GROUP BY doc_id))"
+
+
+def _split_sql(kind: str) -> str:
+    vocab, words, split = (_M_VOCAB, "cvw", _morph_split) if kind == "morph" else (_H_VOCAB, "words", _hybrid_split)
+    sep = f"[{_WS}]" if kind == "morph" else f"[{_WS}.,;:!?።፡፤፣]"
+    return f"{vocab}, {_EVERY}, sw AS MATERIALIZED (SELECT word FROM {words} WHERE NOT regexp_full_match(word, {_lit(sep)})), {split('sw')} SELECT word, string_agg(piece, '|' ORDER BY k) AS pieces FROM sp GROUP BY word UNION ALL SELECT word, word FROM {words} WHERE regexp_full_match(word, {_lit(sep)})"
+
+
+def _grams(most: int) -> str:
+    """o(n, hyp, ref, met) of the reconstruction by the raw-script model."""
+    grams = ", ".join(" || ".join(["c", *(f"lead(c, {k}) OVER w" for k in range(1, n))]) for n in range(1, most + 1))
+    return f"""{_ENCODED}, pr AS MATERIALIZED (SELECT d.doc_id, regexp_replace(coalesce(text, ''), {_lit(f'[{_WS}]+')}, '', 'g') AS ref, regexp_replace(coalesce(hyp, ''), {_lit(f'[{_WS}]+')}, '', 'g') AS hyp FROM docs d LEFT JOIN (SELECT doc_id, string_agg(token, '' ORDER BY pos) AS hyp FROM t GROUP BY doc_id) h ON h.doc_id = d.doc_id),
+ch AS MATERIALIZED (SELECT doc_id, side, unnest(c) AS c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, 0 AS side, regexp_extract_all(ref, '(?s).') AS c FROM pr UNION ALL SELECT doc_id, 1, regexp_extract_all(hyp, '(?s).') FROM pr)),
+g AS (SELECT doc_id, side, n, g FROM (SELECT doc_id, side, unnest([{grams}]) AS g, unnest(range(1, {most} + 1)) AS n FROM ch WINDOW w AS (PARTITION BY doc_id, side ORDER BY i)) WHERE g IS NOT NULL),
+o AS MATERIALIZED (SELECT n, sum(h) AS hyp, sum(r) AS ref, sum(least(h, r)) AS met FROM (SELECT n, sum(side) AS h, sum(1 - side) AS r FROM g GROUP BY doc_id, n, g) GROUP BY n)"""
+
+
+_KEYS = [(chr(c), n.split()[-1]) for a, b in S.BLOCKS[:3] for c in range(a, b) if "ETHIOPIC SYLLABLE" in (n := unicodedata.name(chr(c), ""))]
 _NW = f"len(list_filter(string_split_regex(text, {_lit(f'[{_WS}]+')}), lambda x: x <> ''))"
 
 SQL: dict[str, str] = {
@@ -119,9 +236,22 @@ SQL: dict[str, str] = {
     "affix_sets_cv": f"{_CVW}, {_affixes('cvw', 'roles')} SELECT token, role FROM roles",
     "greedy_segments_fidel": f"{_BASE}, {_affixes('words', 'roles')} SELECT word, string_agg(piece, '|' ORDER BY k) AS pieces FROM roles_p GROUP BY word",
     "greedy_segments_cv": f"{_CVW}, {_affixes('cvw', 'roles')} SELECT word, string_agg(piece, '|' ORDER BY k) AS pieces FROM roles_p GROUP BY word",
-    "legacy_stems": f"""{_BASE}, lw AS (SELECT word FROM words WHERE length(word) > 1), sub AS (
-      SELECT word, substr(word, i, l) AS s FROM (SELECT word, i, unnest(range(2, length(word) - i + 2)) AS l FROM (SELECT word, unnest(range(1, length(word))) AS i FROM lw)) WHERE l < length(word))
-      SELECT word FROM lw WHERE word NOT IN (SELECT word FROM sub WHERE s IN (SELECT word FROM lw))""",
+    "legacy_stems": f"""{_BASE}, lw AS MATERIALIZED (SELECT word FROM words WHERE length(word) > 1), sub AS MATERIALIZED (
+      SELECT word, substr(word, i, l) AS s FROM (SELECT word, i, unnest(range(2, length(word) - i + 2)) AS l FROM (SELECT word, unnest(range(1, length(word))) AS i FROM lw)) WHERE l < length(word)),
+      covered AS MATERIALIZED (SELECT DISTINCT sub.word FROM sub JOIN lw ON sub.s = lw.word) SELECT lw.word FROM lw LEFT JOIN covered ON covered.word = lw.word WHERE covered.word IS NULL""",
+    "vocab_morph": f"{_M_VOCAB} SELECT token, base_id FROM vocab",
+    **{f"encode_{kind}": _encode_sql(kind) for kind in ("cv", "morph", "hybrid")},
+    **{f"decode_{kind}": _decode_sql(kind) for kind in ("cv", "morph", "hybrid")},
+    **{f"split_{kind}": _split_sql(kind) for kind in ("morph", "hybrid")},
+    "cv_key_maps": f"""WITH n AS (SELECT glyph, last_, CASE {" ".join(f"WHEN ends_with(last_, '{v}') THEN '{v}'" for v in S.NAME_VOWELS)} ELSE right(last_, 1) END AS v FROM (VALUES {", ".join(f"({_lit(g)}, '{w}')" for g, w in _KEYS)}) t(glyph, last_)),
+      k AS (SELECT glyph, CASE WHEN last_ = v THEN last_ ELSE left(last_, length(last_) - length(v)) END AS c, CASE WHEN last_ = v THEN 'A' ELSE v END AS v FROM n)
+      SELECT glyph, 'C_' || c || CASE WHEN count(*) OVER (PARTITION BY c, v) > 1 THEN '_' || lpad(printf('%X', unicode(glyph)), 4, '0') ELSE '' END AS consonant, 'V_' || v AS vowel FROM k""",
+    "recon_bleu": f"""{_grams(4)} SELECT round(CASE WHEN count(*) < 4 THEN 0 ELSE (CASE WHEN min(CASE WHEN n = 1 THEN hyp END) >= min(CASE WHEN n = 1 THEN ref END) THEN 1.0 ELSE exp(1 - min(CASE WHEN n = 1 THEN ref END)::DOUBLE / min(CASE WHEN n = 1 THEN hyp END)) END) * exp(sum(ln(CASE WHEN met = 0 THEN 100 / (power(2, z) * hyp) ELSE 100.0 * met::DOUBLE / hyp END)) / 4) END, 2) AS bleu
+      FROM (SELECT *, sum(CASE WHEN met = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS z FROM o WHERE hyp > 0)""",
+    "recon_chrf": f"{_grams(6)} SELECT round(coalesce(100 * 5 * p * r / nullif(4 * p + r, 0), 0), 2) AS chrf FROM (SELECT avg(met::DOUBLE / hyp) AS p, avg(met::DOUBLE / ref) AS r FROM o WHERE hyp > 0 AND ref > 0)",
+    "word_mapping": f"{_BASE} SELECT word, CAST(json_object(word, {_cv('word')}) AS VARCHAR) AS mapping FROM words",
+    "find_all": f"""{_CVW} SELECT word, token, CAST(i - 1 AS BIGINT) AS start, CAST(i - 1 + length(token) AS BIGINT) AS "end" FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM cvw) w JOIN (VALUES {_values([S.decompose_py(x) for x in S.MORPH_SUFFIXES + S.MORPH_PREFIXES])}) p(token) ON starts_with(substr(w.word, w.i), p.token)""",
+    "flatten_words": f"WITH {_DOCS}, w AS (SELECT doc_id, list_filter(string_split_regex(text, {_lit(f'[{_WS}]+')}), lambda x: x <> '') AS w FROM docs) SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, md5(array_to_string(w, ' ')) AS words_md5 FROM w WHERE len(w) > 0",
     "vocab_gms": f"{_GMS} SELECT token, base_id FROM vocab",
     "vocab_cv": f"{_CVW}, {_affixes('cvw', 'roles')} {_ids(f'SELECT token FROM roles UNION SELECT * FROM (VALUES {_values(_CV_FIXED)}) t(token)')}",
     "vocab_hybrid": f"{_CVW}, {_affixes('cvw', 'roles')} {_ids(f'SELECT token FROM roles UNION SELECT word FROM cvw UNION SELECT * FROM (VALUES {_values(_CV_FIXED + [S.decompose_py(x) for x in S.HYBRID_SUFFIXES + S.HYBRID_PREFIXES])}) t(token)')}",

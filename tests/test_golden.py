@@ -228,3 +228,92 @@ def test_whole_learning_curve(spark, tmp_path):
     want = M.unigram_ppl(E.encode(m, part), E.encode(m, docs.where(M.is_test()))).first().ppl
     assert got["hybrid", 250_000] == pytest.approx(want, abs=0.006)
     assert all(got[k, 25_000] == got[k, 225_000] != got[k, 250_000] for k in ("gms", "cv", "hybrid"))
+
+
+@pytest.mark.parametrize("kind", V.MODELS)
+def test_json_models(spark, tmp_path, kind):
+    import json
+
+    from syllaspark.sources import corpus as C
+
+    docs = frame(spark, "ሰው ሰዎች ልጅ ልጆች መጽሐፍ", "በሰው የሰው ይጫወታሉ \"")
+    m = E.fit(kind, docs)
+    C.save_pretrained(m, str(tmp_path / "m"))
+    vocab, config = (json.loads((tmp_path / "m" / f).read_text()) for f in ("vocab.json", "tokenizer.json"))
+    assert vocab == {r.token: r.base_id for r in m.all_tokens().collect()} and config["tokens"] == sorted(set(vocab) - {"<unk>", "<pad>"}, key=vocab.get)
+    n = C.load_pretrained(spark, str(tmp_path / "m"))
+    assert n.kind == kind and sorted(map(tuple, E.encode(n, docs).collect())) == sorted(map(tuple, E.encode(m, docs).collect()))
+
+
+def test_command_line(spark, tmp_path):
+    import json
+
+    from syllaspark.__main__ import run
+
+    (tmp_path / "a.txt").write_text("\n".join(UNIT))
+    (tmp_path / "b.txt").write_text("ቤት ቤቶች")
+    out = str(tmp_path / "m")
+    run(spark, ["train", "--corpus", str(tmp_path / "a.txt"), "--outdir", out])
+    assert run(spark, ["encode", "--tokenizer", out, "--text", "ሰላም"]) == "2865"
+    assert run(spark, ["decode", "--tokenizer", out, "--ids", "2865", "2866"]) == "ሰላም ሰላም"
+    run(spark, ["train", "--corpus", str(tmp_path / "a.txt"), "--additional-corpus", str(tmp_path / "b.txt"), "--outdir", out, "--use-old-algorithm"])
+    assert {"ቤት", "ሰላም"} <= set(json.loads((tmp_path / "m" / "vocab.json").read_text()))
+    run(spark, ["build-maps", "--outdir", str(tmp_path / "maps")])
+    keys = json.loads((tmp_path / "maps" / "key_to_glyph.json").read_text())
+    assert len(keys) == 421 and all(len(json.loads(k)) == 2 for k in keys)
+
+
+def plain_old_split(words):
+    """Stems, prefixes and suffixes of the older split, word by word: words in order of length, then of code points."""
+    words = sorted(set(words), key=lambda w: (len(w), w))
+    long = [w for w in words if len(w) > 1]
+    stems = [w for w in long if not any(x != w and x in w for x in long)]
+    prefixes, suffixes = [w for w in words if len(w) == 1], []
+    for s in stems:
+        for w in long:
+            if w != s and s in w:
+                prefixes.append(w[: w.find(s)])
+                suffixes.append(w[w.find(s) + len(s) :])
+    return set(stems), G.fold_affixes(set(), prefixes), G.fold_affixes(set(), suffixes)
+
+
+def test_old_split_and_all_matches(spark):
+    import random
+
+    r = random.Random(2)
+    words = sorted({"".join(r.choices("ሀለመሰ", k=r.randint(1, 12))) for _ in range(120)})
+    got = {}
+    for x in G.legacy_split(spark.createDataFrame([(w,) for w in words], "word string")).collect():
+        got.setdefault(x.role, set()).add(x.token)
+    stems, prefixes, suffixes = plain_old_split(words)
+    assert got["stem"] == stems and got["prefix"] == prefixes and got.get("suffix", set()) == suffixes
+    tokens = ["ሀ", "ለመ", words[-1], "ሀለመሰሀለመሰ"]
+    texts = [w + w for w in words] + ["ሀለመሰሀለመሰሀለመሰ"]
+    found = sorted((x.word, x.token, x.start, x.end) for x in G.find_all(spark.createDataFrame([(w,) for w in texts], "word string"), V.tokens_frame(spark, tokens)).collect())
+    assert found == sorted((w, t, i, i + len(t)) for w in texts for t in tokens for i in range(len(w)) if w.startswith(t, i))
+
+
+def test_measures(spark, tmp_path):
+    import json
+
+    from syllaspark.operators import metrics as M
+    from syllaspark.sources import corpus as C
+
+    pairs = spark.createDataFrame([(1, "ab cd", "ab cd"), (2, "efghij", "efgh")], "doc_id long, ref string, hyp string")
+    # By hand: 8 of 8, 6 of 6, 4 of 4 and 2 of 2 n-grams match; 10 characters against 8, so exp(1 - 10 / 8).
+    assert M.bleu(pairs).first().bleu == 77.88
+    assert M.chrf(pairs.where("doc_id = 1")).first().chrf == 100.0
+    docs = frame(spark, "ሰላም ልዩ ቃል", "ሰላም ይደርሳል x")
+    m = E.fit("gms", docs)
+    row = M.evaluate("gms", m, docs, docs)
+    r = row.first()
+    assert r.vocab_size == 1427 and r.unk_pct == round(100 / 6, 3) and r.tok_per_word == 1.0 and r.ppl == pytest.approx(4.8, abs=0.01) and M.throughput(m, docs) > 0
+    assert len(M.table_text(row).splitlines()) == 5
+    C.save_metrics(row, str(tmp_path / "m.json"))
+    assert json.loads((tmp_path / "m.json").read_text())[0]["algorithm"] == "gms"
+    C.save_curve(spark.createDataFrame([("a", 5, None), ("a", 1, 2.0)], "algorithm string, step long, ppl double"), str(tmp_path / "c.json"))
+    assert json.loads((tmp_path / "c.json").read_text()) == {"checkpoints": [1, 5], "curves": {"a": [{"step": 1, "ppl": 2.0}, {"step": 5, "ppl": None}]}}
+    t = E.tokenize(m, frame(spark, "ሰላም ልዩ", None)).orderBy("doc_id").collect()
+    assert [x.token_count for x in t] == [2, 0] and E.decode(m, E.tokenize(m, frame(spark, "ሰላም ልዩ"))).first().text == "ሰላም ልዩ"
+    assert [tuple(x) for x in M.words_in_order(frame(spark, " ሀ  ለ\n")).collect()] == [(0, 0, "ሀ"), (0, 1, "ለ")]
+    assert one(spark, "ሰላም", S.word_mapping) == {"ሰላም": "ስአልኣምእ"}
