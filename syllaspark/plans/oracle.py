@@ -6,7 +6,14 @@ import unicodedata
 
 from ..functions import script as S
 
-_KEPT, _WS = S.KEPT, S.WS
+# The character classes, from Python's own tables and the CV forms instead of the library's patterns.
+_SPACES = "".join(f"\\x{{{c:X}}}" for c in range(0x110000) if chr(c).isspace())
+_WS = _SPACES
+_KEPT = r"\x{1200}-\x{137F}\x{1380}-\x{139F}\x{2D80}-\x{2DDF}0123456789" + _SPACES + r"\-.,:?!\x{FEFF}"
+_WORD = rf"([\-.,:?!\x{{1361}}\x{{1362}}\x{{1363}}]|[^\-.,:?!\x{{1361}}\x{{1362}}\x{{1363}}{_SPACES}]+)"
+_LABIAL = "".join(sorted(cv[0] for _, cv in S.fidel_pairs() if len(cv) == 3))
+_PLAIN = "".join(sorted({cv[0] for _, cv in S.fidel_pairs() if len(cv) > 1}))
+_UNIT = f"(?s)[{_LABIAL}]ኡኣ|[{_PLAIN}][አኡኢኣኤእኦ]|."
 _FOREIGN = f"[^{_KEPT}]"
 
 
@@ -41,14 +48,14 @@ def _cv(t: str) -> str:
 
 
 def _back(t: str) -> str:
-    return f"array_to_string(list_transform(regexp_extract_all({t}, {_lit(S.CV_UNIT)}), lambda c: coalesce(map_extract_value({_RECOMPOSE}, c), c)), '')"
+    return f"array_to_string(list_transform(regexp_extract_all({t}, {_lit(_UNIT)}), lambda c: coalesce(map_extract_value({_RECOMPOSE}, c), c)), '')"
 
 
 _DOCS = _docs("documents", "doc_id", "docs")
 
 
 def _words(docs: str, name: str) -> str:
-    return f"{name} AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all({_normal('text')}, {_lit(S.WORD)}, 1)) AS word FROM {docs})"
+    return f"{name} AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all({_normal('text')}, {_lit(_WORD)}, 1)) AS word FROM {docs})"
 
 
 def _segments(words: str, tokens: str, first_run: bool, name: str, most: str = "1000") -> str:
@@ -217,15 +224,32 @@ g AS (SELECT doc_id, side, n, g FROM (SELECT doc_id, side, unnest([{grams}]) AS
 o AS MATERIALIZED (SELECT n, sum(h) AS hyp, sum(r) AS ref, sum(least(h, r)) AS met FROM (SELECT n, sum(side) AS h, sum(1 - side) AS r FROM g GROUP BY doc_id, n, g) GROUP BY n)"""
 
 
-_KEYS = [(chr(c), n.split()[-1]) for a, b in S.BLOCKS[:3] for c in range(a, b) if "ETHIOPIC SYLLABLE" in (n := unicodedata.name(chr(c), ""))]
 _NW = f"len(list_filter(string_split_regex(text, {_lit(f'[{_WS}]+')}), lambda x: x <> ''))"
 
+
+def _curve_point(kind: str, step: int) -> str:
+    """The perplexity of one model at one step; cum(doc_id, text, c): the train documents with the words up to each, and the test documents with a null c."""
+    encoded = _ENCODED if kind == "gms" else _encoded(kind)
+    docs = f"WITH RECURSIVE docs AS MATERIALIZED (SELECT doc_id, text FROM cum WHERE c IS NULL OR c <= {step}), train AS (SELECT * FROM docs WHERE doc_id % 20 >= 3), {_words('train', 'words')}"
+    return f"""SELECT '{kind}' AS algorithm, CAST({step} AS BIGINT) AS step, ppl FROM ({encoded.replace(_BASE, docs)}, c AS MATERIALIZED (SELECT token, count(*) AS c FROM t WHERE doc_id % 20 >= 3 GROUP BY token), s AS (SELECT coalesce(sum(c), 0) AS total, count(*) AS kinds FROM c)
+      SELECT CASE WHEN min(total) > 0 THEN round(exp(-sum(n * ln((coalesce(c, 0) + 1e-10::DOUBLE) / (total + 1e-10::DOUBLE * kinds))) / sum(n)), 2) END AS ppl FROM (SELECT token, count(*) AS n FROM t WHERE doc_id % 20 < 3 GROUP BY token) LEFT JOIN c USING (token), s)"""
+
+
+def curve_sql(kinds: tuple[str, ...], steps: list[int]) -> str:
+    """Every point trained and tested by itself."""
+    points = " UNION ALL ".join(_curve_point(kind, step) for kind in kinds for step in steps)
+    return f"""WITH {_DOCS.replace('docs AS', 'every_doc AS', 1)}, cum AS MATERIALIZED (SELECT doc_id, text, CASE WHEN doc_id % 20 >= 3 THEN sum(CASE WHEN doc_id % 20 >= 3 THEN w ELSE 0 END) OVER (ORDER BY doc_id) END AS c FROM (SELECT doc_id, text, {_NW} AS w FROM every_doc))
+      {points}"""
+
+
+_KEYS = [(chr(c), n.split()[-1]) for a, b in S.BLOCKS[:3] for c in range(a, b) if "ETHIOPIC SYLLABLE" in (n := unicodedata.name(chr(c), ""))]
+
 SQL: dict[str, str] = {
     "fidel_decompose": f"{_BASE} SELECT word, {_cv('word')} AS cv FROM words",
     "normalize_text": f"WITH {_DOCS} SELECT doc_id, {_one_space(_normal('text'))} AS text FROM docs",
     "normalize_raw": f"SELECT doc_id, {_one_space(_normal('text'))} AS text FROM documents",
-    "word_split": f"WITH {_DOCS}, w AS (SELECT doc_id, regexp_extract_all({_normal('text')}, {_lit(S.WORD)}, 1) AS w FROM docs) SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, md5(array_to_string(w, ' ')) AS words_md5 FROM w",
-    "word_freq": f"WITH {_DOCS} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_normal('text')}, {_lit(S.WORD)}, 1)) AS word FROM docs) GROUP BY word",
+    "word_split": f"WITH {_DOCS}, w AS (SELECT doc_id, regexp_extract_all({_normal('text')}, {_lit(_WORD)}, 1) AS w FROM docs) SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, md5(array_to_string(w, ' ')) AS words_md5 FROM w",
+    "word_freq": f"WITH {_DOCS} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_normal('text')}, {_lit(_WORD)}, 1)) AS word FROM docs) GROUP BY word",
     "corpus_vocab": f"{_BASE} SELECT word FROM words",
     "char_inventory": f"{_BASE} SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(word, '(?s).')) AS ch FROM words) GROUP BY ch",
     "fidel_map": f"SELECT * FROM (VALUES {', '.join(f'({_lit(a)}, {_lit(b)})' for a, b in _PAIRS)}) t(glyph, cv)",
@@ -246,6 +270,9 @@ SQL: dict[str, str] = {
     "cv_key_maps": f"""WITH n AS (SELECT glyph, last_, CASE {" ".join(f"WHEN ends_with(last_, '{v}') THEN '{v}'" for v in S.NAME_VOWELS)} ELSE right(last_, 1) END AS v FROM (VALUES {", ".join(f"({_lit(g)}, '{w}')" for g, w in _KEYS)}) t(glyph, last_)),
       k AS (SELECT glyph, CASE WHEN last_ = v THEN last_ ELSE left(last_, length(last_) - length(v)) END AS c, CASE WHEN last_ = v THEN 'A' ELSE v END AS v FROM n)
       SELECT glyph, 'C_' || c || CASE WHEN count(*) OVER (PARTITION BY c, v) > 1 THEN '_' || lpad(printf('%X', unicode(glyph)), 4, '0') ELSE '' END AS consonant, 'V_' || v AS vowel FROM k""",
+    "tokenize_texts": f"""{_encoded("cv")} SELECT d.doc_id, coalesce(x.c, 0) AS token_count, md5(coalesce(x.ids, '')) AS ids_md5, md5({_cv("text")}) AS cv_md5 FROM docs d LEFT JOIN (
+      SELECT doc_id, count(*) AS c, string_agg(CAST((n + 2) * 2 + 1 + base_id * 2 + CAST(spaced AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS ids FROM t, (SELECT count(*) AS n FROM vocab) GROUP BY doc_id) x ON x.doc_id = d.doc_id""",
+    "model_catalog": " UNION ALL ".join(f"SELECT '{name}' AS name, n AS vocab_size, '{label}' AS type FROM ({vocab} SELECT count(*) AS n FROM vocab)" for name, label, vocab in (("gms", "Direct", _GMS), ("cv", "CV", _CV_VOCAB), ("morph", "CV", _M_VOCAB), ("hybrid", "Direct", _H_VOCAB))),
     "recon_bleu": f"""{_grams(4)} SELECT round(CASE WHEN count(*) < 4 THEN 0 ELSE (CASE WHEN min(CASE WHEN n = 1 THEN hyp END) >= min(CASE WHEN n = 1 THEN ref END) THEN 1.0 ELSE exp(1 - min(CASE WHEN n = 1 THEN ref END)::DOUBLE / min(CASE WHEN n = 1 THEN hyp END)) END) * exp(sum(ln(CASE WHEN met = 0 THEN 100 / (power(2, z) * hyp) ELSE 100.0 * met::DOUBLE / hyp END)) / 4) END, 2) AS bleu
       FROM (SELECT *, sum(CASE WHEN met = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS z FROM o WHERE hyp > 0)""",
     "recon_chrf": f"{_grams(6)} SELECT round(coalesce(100 * 5 * p * r / nullif(4 * p + r, 0), 0), 2) AS chrf FROM (SELECT avg(met::DOUBLE / hyp) AS p, avg(met::DOUBLE / ref) AS r FROM o WHERE hyp > 0 AND ref > 0)",
@@ -272,3 +299,5 @@ SQL: dict[str, str] = {
       SELECT step, count(*) AS n_docs, CAST(sum(w) AS BIGINT) AS n_words FROM c, (SELECT unnest([1000, 5000, 10000, 25000, 50000, 75000, 100000, 125000, 150000, 175000, 200000, 225000, 250000])::BIGINT AS step) WHERE c <= step GROUP BY step""",
     "text_stats": f"""{_ENCODED} SELECT d.doc_id, length(text) AS char_count, length({_cv('text')}) AS decomposed_chars, coalesce(n, 0) AS token_count FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id) USING (doc_id)""",
 }
+STEPS = [1_000, 5_000, 10_000, 25_000, 50_000, 75_000, 100_000, 125_000, 150_000, 175_000, 200_000, 225_000, 250_000]
+SQL["ppl_curve"] = curve_sql(("gms", "cv", "hybrid"), STEPS)

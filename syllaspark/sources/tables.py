@@ -5,15 +5,37 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCOPE: ContextVar[list[DataFrame] | None] = ContextVar("kept_tables", default=None)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, computed once and kept on the executors, in memory or on disk; what a lost executor had is computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(out)
+    return out
+
+
+@contextmanager
+def keeping() -> Iterator[None]:
+    """Tables that are kept inside are given up at the end."""
+    tables: list[DataFrame] = []
+    token = _SCOPE.set(tables)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for t in tables:
+            t.unpersist()
 
 
 def spread(df: DataFrame) -> DataFrame:
