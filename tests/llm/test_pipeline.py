@@ -10,7 +10,7 @@ def test_stages(spark, tmp_path):
     passage = " ".join(r.choices(vocab, k=15))
     near = base[3].split()
     near[60] = "changed"
-    rows = [(i, x, "en") for i, x in enumerate(base)] + [(100, base[2] + " ", "en"), (101, " ".join(near), "en"), (102, base[5][:200] + " " + passage + " " + " ".join(r.choices(vocab, k=90)), "en"), (103, None, "en"), (104, "123 !!", "en")]
+    rows = [(i, x, "en") for i, x in enumerate(base)] + [(100, base[2] + " ", "en"), (101, " ".join(near), "en"), (102, base[5][:200] + " " + passage + " " + " ".join(r.choices(vocab, k=90)), "en"), (103, None, "en"), (104, "123 !!", "en"), (7, base[7], "en"), (7, base[7], "en")]
     spark.createDataFrame([(*x, "s", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, passage), (2, "the")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -26,4 +26,16 @@ def test_stages(spark, tmp_path):
     assert left[0] == every - {103, 104}
     assert left[1] == left[0] - {2}  # the copy with a trailing space is the longest original
     assert left[2] == left[1] - {101} and left[3] == left[2] - {102} and left[4] == left[3]
-    assert {x.doc_id for x in C.run(spark, str(tmp_path)).collect()} == left[4]
+    got = C.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in got} == left[4] and len(got) == len(left[4])  # rows that repeat are one
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    names = "doc_id long, text string, lang string, source string, n_chars long, sig int, run int, kept int, score int"
+    spark.createDataFrame([], names).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert C.run(spark, str(tmp_path)).count() == 0
+    text = "a text of some words that is long enough to have shingles and the like in it"
+    rows = [(i, x, "en", "s", 1, i, i, i, i) for i, x in enumerate([text, text + " too", None, text, "other words"])] + [(0, text, "en", "s", 1, 0, 0, 0, 0)]
+    spark.createDataFrame(rows, names).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(x.doc_id for x in C.run(spark, str(tmp_path)).collect()) == [0, 4]
