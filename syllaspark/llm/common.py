@@ -113,13 +113,10 @@ def fold_of(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def one_of_repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows, but one only of those that are alike in keys. Few rows repeat, so only those are shuffled whole: the others are told by their keys."""
-    again = stored(rows.groupBy(*(F.col(k).alias(f"_again_{i}") for i, k in enumerate(keys))).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
-    if again.isEmpty():
-        return rows
-    on = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_again_{i}")) for i, k in enumerate(keys)))
-    return rows.join(again, on, "left_anti").unionByName(rows.join(again, on, "left_semi").dropDuplicates(list(keys)))
+def repeated_ids(docs: DataFrame, doc_id: str) -> DataFrame | None:
+    """_again: the ids that several rows have, null included; None if there are none. Only the ids are read."""
+    again = stored(docs.groupBy(F.col(doc_id).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again"))
+    return None if again.isEmpty() else again
 
 
 # ---------------------------------------------------------------- Arrow batches

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_partitions, one_of_repeated, stored, table
+from .common import n_partitions, repeated_ids, stored, table
 
 #: Runs at the leaves, and the bits of a run's number that a round removes: rounds merge 4 runs into one until one is left.
 RUN_BITS, ROUND_BITS = 6, 2
@@ -73,12 +73,18 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def dedup_filter(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each group. Of rows that repeat an id, those with the text that stays; of rows that repeat id and text, one."""
-    kept = exact_dedup(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    kept = exact_dedup(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    same = F.col(doc_id).eqNullSafe(F.col("_kept_id"))
+    again = repeated_ids(docs, doc_id)
+    ids = kept.select("_kept_id").distinct()
+    if again is None:
+        return docs.join(ids, same, "left_semi")
+    # Only rows whose id repeats are digested again, to tell which of them has the text that stays.
+    once = docs.join(ids.join(again, F.col("_kept_id").eqNullSafe(F.col("_again")), "left_anti"), same, "left_semi")
     norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "")
-    # Only rows whose id stays for some text are digested again.
-    some = docs.join(kept.select("_kept_id").distinct(), F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
-    left = some.withColumn("_sha", F.sha2(norm.cast("binary"), 256)).join(kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    return one_of_repeated(left, doc_id, "_sha").drop("_sha")
+    many = docs.join(again, F.col(doc_id).eqNullSafe(F.col("_again")), "left_semi").withColumn("_sha", F.sha2(norm.cast("binary"), 256))
+    many = many.join(kept.distinct(), same & (F.col("_sha") == F.col("_kept_sha")), "left_semi").dropDuplicates([doc_id, "_sha"]).drop("_sha")
+    return once.unionByName(many)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

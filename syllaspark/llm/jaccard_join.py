@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, forget, mix, n_partitions, one_of_repeated, parts_for, ragged, ship, shingles, stored, table, texts_of, words_of
+from .common import SPACE, cut, forget, mix, n_partitions, parts_for, ragged, repeated_ids, ship, shingles, stored, table, texts_of, words_of
 from .components import components
 
 #: Shingles that more sets have than this are ordered last, at most HOT_MOST of them, the most frequent; it is a matter of speed only.
@@ -354,8 +354,14 @@ def keep_one(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_
     """The rows of docs that are the first of their component, with all their columns, one of those that repeat id and text; rows with a null id stay."""
     first = join(docs, n, percent, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     null = docs.where(F.col(doc_id).isNull())
-    left = docs.join(first, docs[doc_id] == first["_first"], "left_semi").withColumn("_sha", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
-    return one_of_repeated(left, doc_id, "_sha").drop("_sha").unionByName(null)
+    again = repeated_ids(docs.where(F.col(doc_id).isNotNull()), doc_id)
+    same = F.col(doc_id) == F.col("_first")
+    if again is None:
+        return docs.join(first, same, "left_semi").unionByName(null)
+    once = docs.join(first.join(again, F.col("_first") == F.col("_again"), "left_anti"), same, "left_semi")
+    many = docs.join(again, F.col(doc_id) == F.col("_again"), "left_semi").join(first, same, "left_semi")
+    many = many.withColumn("_sha", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)).dropDuplicates([doc_id, "_sha"]).drop("_sha")
+    return once.unionByName(many).unionByName(null)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
