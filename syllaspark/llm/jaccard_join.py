@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, forget, mix, n_partitions, parts_for, ragged, repeated_ids, ship, shingles, stored, table, texts_of, words_of
+from .common import SPACE, cut, forget, mix, n_partitions, parts_for, ragged, repeated_ids, ship, shingles, stored, table, texts_of, tidy, words_of
 from .components import components
 
 #: Shingles that more sets have than this are ordered last, at most HOT_MOST of them, the most frequent; it is a matter of speed only.
@@ -257,10 +257,21 @@ def _verified(pairs: DataFrame, content: DataFrame, n: int, percent: int, order:
             if trie is not None:
                 found.extend((now[0], b) for b in trie.linked(hub, percent))
 
+        def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+            """The rows with their texts, in slices of about BLOCK_BYTES of text once unpacked."""
+            texts, size, first = [], 0, 0
+            for k, body in enumerate(batch.column(3)):
+                texts.append(zlib.decompress(body.as_py()))
+                size += len(texts[-1])
+                if size >= BLOCK_BYTES or k + 1 == batch.num_rows:
+                    yield batch.slice(first, len(texts)), [x.decode() for x in texts]
+                    texts, size, first = [], 0, k + 1
+
+        tidy()
         for batch in batches:
-            for piece in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+            for piece, texts in slices(batch):
                 a, chunk, b = (piece.column(c).to_pylist() for c in range(3))
-                sets = sets_of(pa.array([zlib.decompress(x).decode() for x in piece.column(3).to_pylist()], pa.string()), n)
+                sets = sets_of(pa.array(texts, pa.string()), n)
                 for key, member, s in zip(zip(a, chunk, strict=True), b, sets, strict=True):
                     if key != now:
                         close()
@@ -271,6 +282,7 @@ def _verified(pairs: DataFrame, content: DataFrame, n: int, percent: int, order:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
                 found = []
         close()
+        tidy()
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 

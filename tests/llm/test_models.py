@@ -76,3 +76,81 @@ def test_quality(spark):
     assert len(held) > 150 and np.mean(held) > 0.97
     assert Q.classify(docs.limit(0), lab).count() == 0
     assert {x.score for x in Q.classify(docs, lab.limit(0)).collect()} == {0.5}
+
+
+def plain_kneser_ney(counts):
+    """Probability of a 5-gram's last number after the others, by dictionaries."""
+    from collections import Counter
+
+    by = {5: counts}
+    for order in (4, 3, 2, 1):
+        by[order] = Counter(g[1:] for g in by[order + 1])
+    d = {}
+    for order, c in by.items():
+        one, two = (sum(1 for x in c.values() if x == k) for k in (1, 2))
+        d[order] = one / (one + 2 * two) if one else 0.5
+
+    def p(g, order=5):
+        if order == 0:
+            return 2.0**-12
+        own = {k: v for k, v in by[order].items() if k[:-1] == g[5 - order : 4]}
+        total = sum(own.values())
+        if not total:
+            return p(g, order - 1)
+        return (max(own.get(g[5 - order :], 0) - d[order], 0) + d[order] * len(own) * p(g, order - 1)) / total
+
+    return p
+
+
+def test_kneser_ney_against_a_plain_one():
+    from collections import Counter
+
+    r = random.Random(8)
+    texts = {x: ["".join(r.choices(letters, k=r.randint(1, 60))) for _ in range(12)] for x, letters in (("a", "aab cd"), ("b", "bbc e"))}
+    split = lambda g: tuple(int(g) >> 12 * k & 4095 for k in (4, 3, 2, 1, 0))
+    packed = {x: L.grams(pa.array(t))[0] for x, t in texts.items()}
+    m = L.fit([(x, *L.count_sorted(g)) for x, g in packed.items()])
+    asked = np.concatenate([*packed.values(), L.grams(pa.array(["abec d", "zzz", "bcbcbc"]))[0]])
+    got = np.exp2(m.logs(asked).astype(float))
+    for j, x in enumerate(("a", "b")):
+        p = plain_kneser_ney(Counter(map(split, packed[x])))
+        assert np.allclose(got[:, j], [p(split(g)) for g in asked], rtol=1e-3)
+
+
+def test_rejection_is_calibrated():
+    r = np.random.default_rng(1)
+    m = L.Model(["a", "b"], [], [], *(np.zeros(2) for _ in range(4)))
+    n = r.integers(5, 2000, 4000)
+    h = 2 + r.normal(size=4000) * np.sqrt(0.1**2 + 2.0**2 / n)
+    m.calibrate(0, h, n)
+    m.calibrate(1, h[:0], n[:0])
+    both = np.column_stack([h, h + 5])
+    assert m.decide(both, n, n)[3].mean() <= 0.001
+    assert m.decide(both + 3, np.full(4000, 300), n)[3].all()  # three bits a character too many
+    assert not m.decide(both[:, ::-1] + 20, n, n)[3].any()  # nothing is known of the language: nothing is rejected
+
+
+def test_gam_scores_are_sums_of_lookups():
+    import bisect
+    import math
+
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(400, len(Q.FEATURES))), 1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    m = Q.fit(x, y)
+    assert m.pairs and ((m.predict(x) >= 0.5) == (y == 1)).mean() > 0.95
+    for row, p in zip(x[:50], m.predict(x[:50]), strict=True):
+        z = m.intercept + sum(s[bisect.bisect_right(c.tolist(), v)] for c, s, v in zip(m.cuts, m.scores, row, strict=True))
+        z += sum(s[bisect.bisect_right(m.pair_cuts[i].tolist(), row[i])][bisect.bisect_right(m.pair_cuts[j].tolist(), row[j])] for (i, j), s in zip(m.pairs, m.pair_scores, strict=True))
+        assert abs(p - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_tree_splits_where_the_gain_is_largest():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        g, h = r.normal(size=9), r.random(9)
+        gain = [g[:k].sum() ** 2 / (h[:k].sum() + 1) + g[k:].sum() ** 2 / (h[k:].sum() + 1) for k in range(1, 9)]
+        k = int(np.argmax(gain)) + 1
+        if max(gain) - g.sum() ** 2 / (h.sum() + 1) > 1e-9:
+            want = np.repeat([g[:k].sum() / (h[:k].sum() + 1), g[k:].sum() / (h[k:].sum() + 1)], [k, 9 - k])
+            assert np.allclose(Q._tree(g, h, 2), want)
