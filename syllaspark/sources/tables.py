@@ -14,6 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a scan, as stored, that make a task of their own.
+PART_BYTES = 400_000
 _SCOPE: ContextVar[list[DataFrame] | None] = ContextVar("kept_tables", default=None)
 
 
@@ -39,12 +41,14 @@ def keeping() -> Iterator[None]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan, dealt over the cores where it has fewer partitions than there are; larger inputs have more and aren't shuffled, nor is anything that was shuffled before."""
+    """A scan, dealt over the cores where it has fewer partitions than there are, one for each PART_BYTES at most; larger inputs have more and aren't shuffled, nor is anything that was shuffled before."""
     plan = df._jdf.queryExecution().executedPlan()
     if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, size // PART_BYTES + 1)
+    # A file may be one row group, which one task reads whatever the number of splits is, so equal numbers count as few.
+    return df.repartition(parts) if 1 < parts and plan.execute().getNumPartitions() <= parts else df
 
 
 def ship(spark: SparkSession) -> None:
