@@ -10,7 +10,7 @@ import functools
 import sys
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_offsets, cut, fold_of, mix, ship, stored, table, texts_of
+from .common import byte_offsets, cut, fold_of, forget, mix, ship, stored, table, texts_of
 
 #: Characters of an n-gram, and bits of one.
 ORDER, BITS = 5, 12
-#: Most n-grams of a language in a model that is broadcast (with more it stays in tables, whole), and rows of each language that calibrate the rejection.
-MAX_GRAMS, CALIBRATION_ROWS = 2_000_000, 2_000
+#: Most n-grams of a language in a model that is broadcast (with more it stays in tables, whole), and most texts whose entropies calibrate the rejection in the driver (those of more stay in a table, whole).
+MAX_GRAMS, MAX_OWN = 2_000_000, 100_000
 #: Rejected is a text whose cross-entropy lies further above its language's mean than LEAST_SIGMAS standard deviations, and MARGIN times further than that of all but one in a thousand of the language's own texts.
 LEAST_SIGMAS, MARGIN, ACCEPTED = 4.0, 1.25, 0.999
 _BEGIN, _GAP = 1, 0x20
@@ -184,6 +184,55 @@ class Model:
         self.noise[j] = max(1.0, 1.4826 * np.median(few)) if len(few) >= 20 else 3.0
         self.sigmas[j] = max(LEAST_SIGMAS, MARGIN * np.quantile(self.deviations(j, h, n), ACCEPTED))
 
+    def calibrate_wide(self, own: DataFrame) -> None:
+        """The same for all languages at once, of j (the language's index), n and entropy of their texts; only counts and quantiles leave the table."""
+        of, by = len(self.langs), lambda values: F.array(*(F.lit(x.item()) for x in values))[F.col("j")]
+        all_n, long_n = np.zeros(of, np.int64), np.zeros(of, np.int64)
+        for r in own.groupBy("j").agg(F.count(F.lit(1)), F.count_if(F.col("n") >= 200)).collect():
+            all_n[r[0]], long_n[r[0]] = r[1], r[2]
+        long, h, n = F.col("n") >= 200, F.col("entropy"), F.col("n")
+        many = long | ~by(long_n >= 20)
+        self.mean[:] = quantiles(own.where(many).select(F.col("j").alias("g"), h.alias("x")), of, 0.5)
+        off = F.abs(h - by(self.mean))
+        both = own.where(many).select(F.col("j").alias("g"), off.alias("x")).unionAll(own.where(~long).select((F.col("j") + of).alias("g"), (off * F.sqrt(n)).alias("x")))
+        middle = 1.4826 * quantiles(both, 2 * of, 0.5)
+        self.spread[:] = middle[:of] + 0.05
+        self.noise[:] = np.where(all_n - long_n >= 20, np.fmax(1.0, middle[of:]), 3.0)
+        apart = (h - by(self.mean)) / F.sqrt(by(self.spread**2) + by(self.noise**2) / n)
+        self.sigmas[:] = np.fmax(LEAST_SIGMAS, MARGIN * quantiles(own.select(F.col("j").alias("g"), apart.alias("x")), of, ACCEPTED))
+        for j in np.flatnonzero(all_n == 0):
+            self.calibrate(j, np.zeros(0), np.zeros(0))
+
+
+def quantiles(values: DataFrame, groups: int, q: float, bins: int = 1024) -> np.ndarray:
+    """The q-quantile of x over all rows of each group g from 0 on, as np.quantile has it; nan for groups without rows.
+
+    Exact: the range of x that holds the quantile's row is cut into bins, and the bin that holds it is the next range,
+    from its least x to its largest, until they are one.
+    """
+    low, high, rows, before = np.full(groups, np.nan), np.full(groups, np.nan), np.zeros(groups, np.int64), np.zeros(groups, np.int64)
+    for r in values.groupBy("g").agg(F.min("x"), F.max("x"), F.count(F.lit(1))).collect():
+        low[r[0]], high[r[0]], rows[r[0]] = r[1:]
+    place = q * (rows - 1)
+    rank = np.floor(place).astype(np.int64)
+    x, by = F.col("x"), lambda each: F.array(*(F.lit(v.item()) for v in each))[F.col("g")]
+    while len(left := np.flatnonzero(low < high)):
+        inside = values.where(by(low < high) & x.between(by(low), by(high)))
+        of = F.least(F.floor((x - by(low)) / by(high - low) * bins), F.lit(bins - 1)).alias("bin")
+        found = sorted(tuple(r) for r in inside.groupBy("g", of).agg(F.count(F.lit(1)), F.min("x"), F.max("x")).collect())
+        todo = set(left.tolist())
+        for g, _, n, least, most in found:
+            if g in todo and before[g] + n > rank[g]:
+                low[g], high[g] = least, most
+                todo.remove(g)
+            elif g in todo:
+                before[g] += n
+    after = low.copy()
+    for r in values.groupBy("g").agg(F.count_if(x <= by(low)), F.min(F.when(x > by(low), x))).collect():
+        if r[1] <= rank[r[0]] + 1 and r[2] is not None:
+            after[r[0]] = r[2]
+    return low + (after - low) * (place - rank)
+
 
 def _discount(counts: np.ndarray) -> float:
     return _discount_of(int((counts == 1).sum()), int((counts == 2).sum()))
@@ -233,12 +282,13 @@ def _mask(order: int):
 
 @dataclass
 class WideModel:
-    """A model in tables. rule: langs, mean, spread and noise; per order: gram, n (by language); ctx, total, kinds (by language); the languages' discounts."""
+    """A model in tables. rule: langs, mean, spread and noise; per order: gram, n (by language); ctx, total, kinds (by language); the languages' discounts. found: the stored n-grams of the texts scored so far."""
 
     rule: Model
     known: list[DataFrame]
     contexts: list[DataFrame]
     discounts: list[list[float]]
+    found: list[DataFrame] = field(default_factory=list)
 
     def probabilities(self, asked: DataFrame) -> DataFrame:
         """gram, p (by language) of distinct 5-grams, as Model.logs has them."""
@@ -274,6 +324,7 @@ class WideModel:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner[at])), pa.array(g[at].astype(np.int64)), pa.array(c[k : k + (1 << 16)])], ["key", "gram", "c"])
 
         found = stored(docs.select(key.alias("key"), F.col(text).cast("string").alias("_text")).where(F.length("_text") > 0).mapInArrow(run, "key binary, gram long, c long"))
+        self.found.append(found)
         # Equal texts add up, and so do their characters: the entropy is the same.
         sums = found.join(self.probabilities(found.select("gram").distinct()), "gram").groupBy("key")
         h = sums.agg(F.array(*(-F.sum(F.col("c") * F.log2(F.col("p")[j])) / F.sum("c") for j in range(len(self.rule.langs)))).alias("_entropies"))
@@ -346,8 +397,9 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 
 
 def _own_entropies(rows: DataFrame, model: Model | WideModel) -> DataFrame:
-    """lang, n (characters), entropy of rows' whole texts in their own language, for those with a letter."""
-    rows, rule = _scores(rows, model, "_text")
+    """j (the language's index), n (characters), entropy in their own language of rows' whole texts, for those with a letter; equal texts of a language are one."""
+    key = F.unhex(F.sha2(F.col("_text").cast("binary"), 256))
+    rows, rule = _scores(rows.select("lang", key.alias("_own"), "_text"), model, "_text")
     shared = rows.sparkSession.sparkContext.broadcast(rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,9 +409,10 @@ def _own_entropies(rows: DataFrame, model: Model | WideModel) -> DataFrame:
             h, n, letters = _entropies(m, b, "_text")
             j = np.array([place[x] for x in b.column(0).to_pylist()], np.int64)
             use = pa.array(letters > 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(h[np.arange(len(n)), j])], ["lang", "n", "entropy"]).filter(use)
+            yield pa.RecordBatch.from_arrays([pa.array(j), b.column(1), pa.array(n.astype(np.int64)), pa.array(h[np.arange(len(n)), j])], ["j", "key", "n", "entropy"]).filter(use)
 
-    return rows.mapInArrow(run, "lang string, n long, entropy double")
+    own = rows.mapInArrow(run, "j long, key binary, n long, entropy double")
+    return own.groupBy("j", "key").agg(F.min("n").alias("n"), F.min("entropy").alias("entropy")).drop("key")
 
 
 def _fit_small(counted: DataFrame, langs: list[str]) -> Model:
@@ -375,7 +428,7 @@ def _fit_small(counted: DataFrame, langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | WideModel:
-    """The model of docs' rows with a lang. Grams are counted over all of them and all kept, in tables if a language has more than MAX_GRAMS; about CALIBRATION_ROWS distinct texts of each language, chosen by hash (all of a language with fewer), tell how its own texts score."""
+    """The model of docs' rows with a lang. Grams are counted over all of them and all kept, in tables if a language has more than MAX_GRAMS; all of a language's texts, equal ones once, tell how its own texts score."""
     counted = count_grams(docs, text, lang).cache()
     sizes = {r["lang"]: r["count"] for r in counted.groupBy("lang").count().collect()}
     if any(n > MAX_GRAMS for n in sizes.values()):
@@ -385,13 +438,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | Wi
     counted.unpersist()
     rule = model.rule if isinstance(model, WideModel) else model
     rows = docs.where(F.col(lang).isNotNull() & (F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))) > 0)).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("_text"))
-    shares = rows.groupBy("lang").agg(F.least(F.lit(1_000_000), F.lit(CALIBRATION_ROWS * 1_000_000.0) / F.count(F.lit(1)) + 1).alias("_share"))
-    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < F.col("_share")).select("lang", "_text").distinct()
-    got = _own_entropies(sample, model).toArrow()
-    own = np.array(got.column("lang").to_pylist(), object)
-    entropy, length = (got.column(c).to_numpy() for c in ("entropy", "n"))
-    for j, name in enumerate(rule.langs):
-        rule.calibrate(j, entropy[own == name], length[own == name])
+    own = stored(_own_entropies(rows, model))
+    if isinstance(model, WideModel):
+        forget(*model.found)
+        model.found.clear()
+    if own.count() > MAX_OWN:
+        rule.calibrate_wide(own)
+    else:
+        got = own.toArrow()
+        index, entropy, length = (got.column(c).to_numpy() for c in ("j", "entropy", "n"))
+        for j in range(len(rule.langs)):
+            rule.calibrate(j, entropy[index == j], length[index == j])
+    forget(own)
     return model
 
 

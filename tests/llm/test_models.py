@@ -130,6 +130,47 @@ def test_rejection_is_calibrated():
     assert not m.decide(both[:, ::-1] + 20, n, n)[3].any()  # nothing is known of the language: nothing is rejected
 
 
+def test_rejection_is_calibrated_on_all_texts(spark, monkeypatch):
+    r = random.Random(5)
+    words = {"en": "the and with house of tree", "de": "der und mit haus von baum"}
+    odd = lambda: "".join(r.choices("qxyzj", k=r.randint(0, 4)))
+    rows = [(" ".join([*r.choices(words[x].split(), k=r.choice([2, 5, 9, 60])), odd()]), x) for x, k in (("en", 4000), ("de", 2500)) for _ in range(k)]
+    rows += [(rows[0][0] + " q", "en")] * 500 + [(None, "en"), ("", "de"), ("12 !!", "de"), ("the tree", None), ("la casa", "es"), ("345", "none")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+
+    def check(model, known):
+        m = model.rule if known else model
+        want = L.Model(m.langs, [], [], *(np.zeros(len(m.langs)) for _ in range(4)))
+        for j, x in enumerate(m.langs):
+            own = sorted({t for t, lang in rows if lang == x and t})
+            h, n, letters = (known or model).entropies(pa.array(own, pa.string()))
+            want.calibrate(j, h[letters > 0, j], n[letters > 0])
+        for name in ("mean", "spread", "noise", "sigmas"):
+            assert np.allclose(getattr(m, name), getattr(want, name), rtol=1e-4 if known else 1e-9), name
+        return m
+
+    whole = L.train(docs)
+    check(whole, None)
+    assert whole.langs == ["de", "en", "es", "none"] and np.isinf(whole.sigmas[3]) and not np.isinf(whole.sigmas[:3]).any()
+    monkeypatch.setattr(L, "MAX_OWN", 0)
+    check(L.train(docs), None)
+    monkeypatch.setattr(L, "MAX_GRAMS", 100)
+    check(L.train(docs), whole)
+
+
+def test_quantiles_are_exact(spark):
+    r = np.random.default_rng(6)
+    groups = [r.normal(size=5000), np.zeros(0), np.array([3.5]), np.array([1.0, 2.0]), np.repeat([-1.0, 0.0, 7.0], [40, 41, 1]), np.concatenate([r.random(2000) * 1e-9, [1e12, -1e12]]), np.round(r.normal(size=3000), 1)]
+    rows = [(g, x) for g, xs in enumerate(groups) for x in xs.tolist()]
+    r.shuffle(rows)
+    values = spark.createDataFrame([(int(g), float(x)) for g, x in rows], "g long, x double").cache()
+    for q in (0.0, 0.5, 0.999, 1.0):
+        got = L.quantiles(values, len(groups), q, bins=8)
+        want = [np.quantile(xs, q) if len(xs) else np.nan for xs in groups]
+        assert np.allclose(got, want, rtol=1e-12, atol=0, equal_nan=True)
+    values.unpersist()
+
+
 def test_gam_scores_are_sums_of_lookups():
     import bisect
     import math
