@@ -92,6 +92,9 @@ class HashArray:
         top = (self.hash >> self.shift).astype(np.int64)
         self.at = np.searchsorted(top, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "order"}  # serves the fit only
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places in the order of hashes, -1 for keys that aren't there."""
         if not len(self.hash):
@@ -397,7 +400,7 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 
 
 def _own_entropies(rows: DataFrame, model: Model | WideModel) -> DataFrame:
-    """j (the language's index), n (characters), entropy in their own language of rows' whole texts, for those with a letter; equal texts of a language are one."""
+    """j (the language's index), n (characters), entropy in their own language of rows' whole texts, for those with a letter; equal texts of a language are one. Stored; what it took to make it is given up."""
     key = F.unhex(F.sha2(F.col("_text").cast("binary"), 256))
     rows, rule = _scores(rows.select("lang", key.alias("_own"), "_text"), model, "_text")
     shared = rows.sparkSession.sparkContext.broadcast(rule)
@@ -412,7 +415,12 @@ def _own_entropies(rows: DataFrame, model: Model | WideModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(j), b.column(1), pa.array(n.astype(np.int64)), pa.array(h[np.arange(len(n)), j])], ["j", "key", "n", "entropy"]).filter(use)
 
     own = rows.mapInArrow(run, "j long, key binary, n long, entropy double")
-    return own.groupBy("j", "key").agg(F.min("n").alias("n"), F.min("entropy").alias("entropy")).drop("key")
+    own = stored(own.groupBy("j", "key").agg(F.min("n").alias("n"), F.min("entropy").alias("entropy")).drop("key"))
+    shared.destroy()
+    if isinstance(model, WideModel):
+        forget(*model.found)
+        model.found.clear()
+    return own
 
 
 def _fit_small(counted: DataFrame, langs: list[str]) -> Model:
@@ -438,10 +446,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | Wi
     counted.unpersist()
     rule = model.rule if isinstance(model, WideModel) else model
     rows = docs.where(F.col(lang).isNotNull() & (F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))) > 0)).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("_text"))
-    own = stored(_own_entropies(rows, model))
-    if isinstance(model, WideModel):
-        forget(*model.found)
-        model.found.clear()
+    own = _own_entropies(rows, model)
     if own.count() > MAX_OWN:
         rule.calibrate_wide(own)
     else:

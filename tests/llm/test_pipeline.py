@@ -1,6 +1,9 @@
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline as C
+from syllaspark.llm import language_id as L
 
 
 def test_stages(spark, tmp_path):
@@ -39,3 +42,17 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path):
     rows = [(i, x, "en", "s", 1, i, i, i, i) for i, x in enumerate([text, text + " too", None, text, "other words"])] + [(0, text, "en", "s", 1, 0, 0, 0, 0)]
     spark.createDataFrame(rows, names).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert sorted(x.doc_id for x in C.run(spark, str(tmp_path)).collect()) == [0, 4]
+
+
+def test_language_stage_judges_by_all_texts(spark):
+    r = random.Random(7)
+    odd = lambda share: "".join(r.choice("abc ") if r.random() < share else c for c in " ".join(r.choices(["aab", "bca", "cab", "ac"], k=12)))
+    rows = [(i, odd(0 if i >= 12 else i / 20), "en") for i in range(4000)]  # the odd texts of the language are rare, and tell where its threshold lies
+    rows += [(10000 + i, odd(i / 1000), None) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(docs)
+    texts = pa.array([x[1] for x in rows])
+    h, n, letters = model.entropies(texts)
+    model.calibrate(0, h[:4000, 0], n[:4000])
+    want = {x[0] for x, no in zip(rows, model.decide(h, n, letters)[3].tolist(), strict=True) if not no}
+    assert 4000 < len(want) < 5000 and {x.doc_id for x in C.identify_language(spark, docs, "").collect()} == want
