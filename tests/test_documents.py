@@ -78,3 +78,17 @@ def test_grams_are_counted_a_pair_at_a_time(spark):
         assert M._met(a, b, 6) == [(n, grams(b, n).total(), grams(a, n).total(), (grams(a, n) & grams(b, n)).total()) for n in range(1, 7) if grams(a, n) or grams(b, n)]
     wide = "".join(map(chr, range(0x4E00, 0x5E00)))
     assert M._met(wide + "ab", wide + "ac", 6)[5] == (6, 4093, 4093, 4092)
+
+
+def test_old_stems_compare_few_words(spark, monkeypatch):
+    compared = []
+    monkeypatch.setattr(G, "matches", lambda words, tokens, by=None, f=G.matches: (compared.append(words.count()), f(words, tokens, by))[1])
+    words = ["ሀለ", "መሰረ", "ቀበተነ", *("ሀለ" + "መ" * k for k in range(1, 20)), *("ወ" + "መሰረ" + "ዘ" * k for k in range(20)), "ቀበተነከ", "ሀ"]
+    assert {r.word for r in G.legacy_stems(spark.createDataFrame([(w,) for w in words], "word string")).collect()} == {"ሀለ", "መሰረ", "ቀበተነ"}
+    assert compared == [4]
+
+
+def test_words_of_documents(spark):
+    docs = frame(spark, *TEXTS)
+    want = {r.doc_id: r.w for r in docs.select("doc_id", M.n_words(F.col("text")).alias("w")).collect()}
+    assert {r.doc_id: r.w for r in D.words_of_documents(docs).collect()} == want
